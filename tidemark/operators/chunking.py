@@ -14,18 +14,19 @@ SPLIT_LEVELS = [
 DEFAULT_MAX_CHARS = 2048
 
 
+def _cut_long(pieces: Column, pattern: str, max_chars: int) -> Column:
+    def cut(piece: Column) -> Column:
+        parts = F.regexp_extract_all(piece, F.lit(pattern), F.lit(0))
+        return F.when(F.length(piece) <= max_chars, F.array(piece)).otherwise(parts)
+
+    return F.flatten(F.transform(pieces, cut))
+
+
 def _pieces(text: Column, max_chars: int) -> Column:
     """Cut only what is longer than ``max_chars``, one level after another, at last by length."""
     pieces = F.array(text)
     for pattern in [*SPLIT_LEVELS, rf"(?s).{{1,{max_chars}}}"]:
-        pieces = F.flatten(
-            F.transform(
-                pieces,
-                lambda p, pattern=pattern: F.when(F.length(p) <= max_chars, F.array(p)).otherwise(
-                    F.regexp_extract_all(p, F.lit(pattern), F.lit(0))
-                ),
-            )
-        )
+        pieces = _cut_long(pieces, pattern, max_chars)
     return pieces
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.text import tokenize
 from tidemark.operators.keyword import SCORE_DECIMALS
@@ -24,7 +24,7 @@ SCORE_CELLS = 4_000_000
 
 def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], batch: int = ENCODE_BATCH) -> DataFrame:
     """Add ``vec`` from any encoder that turns a list of texts to a matrix, one call per batch."""
-    schema = df.schema.add("vec", "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField("vec", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

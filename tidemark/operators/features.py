@@ -202,7 +202,11 @@ def one_hot(value: Column, categories: list[str]) -> list[Column]:
 
 def multi_hot(items: Column, vocabulary: list[str]) -> list[Column]:
     """Counts per fixed vocabulary item: null counts nothing, repeats count twice, unknown is ignored."""
-    return [F.coalesce(F.size(F.filter(items, lambda x, v=v: x == v)), F.lit(0)).cast("double") for v in vocabulary]
+
+    def count(value: str) -> Column:
+        return F.coalesce(F.size(F.filter(items, lambda x: x == value)), F.lit(0)).cast("double")
+
+    return [count(v) for v in vocabulary]
 
 
 def items_from_json(text: Column) -> Column:

@@ -20,23 +20,28 @@ ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
 
 
-def json_array_files(rows: DataFrame, path: str, group: str, per_file: int, keys: tuple[str, ...] = ()) -> None:
-    """Write rows as many small files of one JSON array (or one object of arrays) each."""
-    spark_rows = rows.withColumn("_file", F.floor(F.col(group) / per_file))
-    if keys:
-        lists = [F.collect_list(F.col(k)).alias(k) for k in keys]
-        body = F.to_json(F.struct(*keys))
-        packed = spark_rows.groupBy("_file").agg(*lists).select(body.alias("value"))
-    else:
-        record = F.struct(*[c for c in rows.columns])
-        packed = spark_rows.groupBy("_file").agg(F.to_json(F.collect_list(record)).alias("value"))
-    packed.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+def json_array_files(rows: DataFrame, path: str, keys: tuple[str, ...] = ()) -> None:
+    """Write rows as many files of one JSON array each, or of one object with an array per key.
+
+    A file holds one Arrow batch, so its size is bounded whatever the rows are.
+    """
+    whole = F.to_json(F.struct(*rows.columns)).alias("row")
+    texts = rows.select(*([F.to_json(k).alias(k) for k in keys] or [whole]))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        arrays = {c: f"[{','.join(pdf[c].dropna())}]" for c in pdf.columns}
+        if not keys:
+            return pd.DataFrame({"value": [arrays["row"]]})
+        return pd.DataFrame({"value": ["{" + ",".join(f'"{k}":{arrays[k]}' for k in keys) + "}"]})
+
+    files = map_batches(texts, pack, "value string", 1000)
+    files.write.option("maxRecordsPerFile", 1).text(path)
 
 
 @query("sc1_read_json_array", EVENTS_SQL)
 def sc1(spark, d):
     path = scratch_path(spark, "array")
-    json_array_files(table(spark, d, "events").select(*EVENT_COLUMNS), path, "event_id", 1000)
+    json_array_files(table(spark, d, "events").select(*EVENT_COLUMNS), path)
     return read_json_array(spark, path).select(*EVENT_COLUMNS)
 
 
@@ -95,7 +100,7 @@ def sc8(spark, d):
         F.when(k % 3 != 0, F.struct("event_id", F.col("event_type").alias("title"))).alias("PubmedArticle"),
         F.when(k % 3 == 0, F.struct("event_id", F.col("value").alias("price"))).alias("PubmedBookArticle"),
     )
-    json_array_files(rows, path, "event_id", 1000, keys=("PubmedArticle", "PubmedBookArticle"))
+    json_array_files(rows, path, keys=("PubmedArticle", "PubmedBookArticle"))
     schema = (
         "PubmedArticle array<struct<event_id:bigint,title:string>>, "
         "PubmedBookArticle array<struct<event_id:bigint,price:double>>"

@@ -21,6 +21,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row work on a scan of few files; a scan with enough partitions is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_ndjson(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """One JSON object per line. Without a schema every row is read once more to infer it."""
     reader = spark.read.option("samplingRatio", 1.0)
