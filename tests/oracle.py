@@ -53,8 +53,7 @@ def compare(spark, con, fn, sql: str | None, sf_dir: str) -> str:
     if sorted(names) != sorted(df.columns):
         return f"COLUMNS {sorted(df.columns)} != {sorted(names)}"
     if mine != theirs:
-        extra = [r for r in mine if r not in set(theirs)][:2]
-        absent = [r for r in theirs if r not in set(mine)][:2]
+        extra, absent = sorted(set(mine) - set(theirs))[:2], sorted(set(theirs) - set(mine))[:2]
         return f"VALUES rows {len(mine)} / {len(theirs)}\n   spark only {extra}\n   duckdb only {absent}"
     return f"ok {len(mine)}" if mine else "EMPTY"
 

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidemark.functions.text import tokenize
 from tidemark.operators.keyword import SCORE_DECIMALS
 from tidemark.operators.topk import top_k_per_key
+from tidemark.session import materialize
 
 DEFAULT_DIM = 256
 ENCODE_BATCH = 4096
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+QUERY_BLOCK_ROWS = 4096
 SCORE_CELLS = 4_000_000
 
 
@@ -41,9 +42,16 @@ def term_bucket(term: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
 
-def bucket_counts(df: DataFrame, key: list[str], text: str, dim: int = DEFAULT_DIM) -> DataFrame:
+def term_counts(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Term frequencies of short texts such as queries; corpora use their postings instead."""
     tokens = df.select(*key, F.explode(tokenize(F.col(text))).alias("term"))
-    return tokens.groupBy(*key, term_bucket(F.col("term"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
+    return tokens.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bucket_counts(terms: DataFrame, key: list[str], dim: int = DEFAULT_DIM) -> DataFrame:
+    """Term frequencies (key..., term, tf) summed per hash bucket."""
+    bucket = term_bucket(F.col("term"), dim).alias("bucket")
+    return terms.groupBy(*key, bucket).agg(F.sum("tf").alias("tf"))
 
 
 def bucket_idf(counts: DataFrame, n: Column) -> DataFrame:
@@ -52,15 +60,13 @@ def bucket_idf(counts: DataFrame, n: Column) -> DataFrame:
     return frequency.select("bucket", F.log((n + 1) / (F.col("df") + 1)).alias("idf"))
 
 
-def hashed_tfidf(
-    df: DataFrame, key: list[str], text: str, idf: DataFrame, dim: int = DEFAULT_DIM
-) -> DataFrame:
+def hashed_tfidf(counts: DataFrame, key: list[str], idf: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:
     """The offline encoder: hashed term counts times idf, scaled to length 1, as ``key..., vec``.
 
     Texts without any weighted term are left out (they have no direction). ``idf`` has at most
     ``dim`` rows, and a row collects at most ``dim`` buckets.
     """
-    weighted = bucket_counts(df, key, text, dim).join(F.broadcast(idf), "bucket")
+    weighted = counts.join(F.broadcast(idf), "bucket")
     weighted = weighted.withColumn("w", F.col("tf") * F.col("idf")).filter("w != 0")
     rows = weighted.groupBy(*key).agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
@@ -130,32 +136,37 @@ def _local_top_k(block: pd.DataFrame, k: int):
 def search_dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine top-k: ``queries`` (query_id, qvec, as_of) over ``vectors`` (id, chunk_no, doc_date, vec).
 
-    Queries go out in blocks of bounded bytes, one pass over the vectors per block. Every task emits
+    Queries go out in blocks of bounded rows, one pass over the vectors per block. Every task emits
     only its own ``k`` best per query, so the shuffle carries queries x tasks x k rows at most. If both
     sides have ``cells``/``cell``, a query sees only the cells it names.
     """
-    spark = queries.sparkSession
     probing = ["cells"] if "cells" in queries.columns else []
     small = queries.select(
         "query_id", F.col("qvec").cast("array<double>").alias("qvec"),
         F.unix_date("as_of").alias("as_of_day"), *probing,
     ).filter("qvec is not null")
-    rows, width = small.agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
-    n_bytes = rows * ((width or 0) * 8 + 64)
-    blocks = 1 if n_bytes <= QUERY_BLOCK_BYTES else -(-n_bytes * 3 // (2 * QUERY_BLOCK_BYTES))
-
     side = vectors.filter("vec is not null").select(
         "id", "chunk_no", "vec", F.unix_date("doc_date").alias("day"), *(["cell"] if probing else [])
     )
     fields = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *vectors.schema.fields]}
     schema = f"query_id {fields['query_id']}, id {fields['id']}, chunk_no {fields['chunk_no']}, score double"
 
-    found = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        part = small if blocks == 1 else small.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        block = part.toPandas()
+    block = small.limit(QUERY_BLOCK_ROWS + 1).toPandas()
+    if len(block) <= QUERY_BLOCK_ROWS:
+        blocks = [block]
+    else:
+        small = materialize(small, "queries")
+        n = -(-small.count() * 3 // (2 * QUERY_BLOCK_ROWS))
+        place = F.pmod(F.xxhash64("query_id"), F.lit(n))
+        blocks = (small.filter(place == b).toPandas() for b in range(n))
+
+    found = None
+    for block in blocks:
         if len(block):
-            found = found.unionByName(side.mapInPandas(_local_top_k(block, k), schema))
+            part = side.mapInPandas(_local_top_k(block, k), schema)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], schema)
     return top_k_per_key(found, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)
 
 

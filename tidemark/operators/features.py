@@ -64,12 +64,64 @@ def _typed(kind: Column, text: Column, allowed: Column, lenient_float: bool) ->
     ]
 
 
-def _empty_typed() -> list[Column]:
-    return [
-        F.lit(None).cast("double").alias("num"),
-        F.lit(None).cast("string").alias("txt"),
-        F.lit(None).cast("array<string>").alias("items"),
-    ]
+def _tag(values: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their plan entry; rows of features outside the group's plan get a null ``feature``."""
+    subs = bounded_plan(plan)
+    planned = F.broadcast(subs.select("group_no", "feature").distinct().withColumn("planned", F.lit(True)))
+    known = values.join(planned, ["group_no", "feature"], "left").withColumn(
+        "feature", F.when(F.col("planned"), F.col("feature"))
+    )
+    tagged = known.join(F.broadcast(subs), ["group_no", "feature", "sub"], "left")
+    return tagged.withColumn("text", _clean(F.col("raw")))
+
+
+def _plan_groups(plan: DataFrame) -> DataFrame:
+    """One row per group: its sub-features and its number of features."""
+    entries = F.collect_list(F.struct("feature", "sub", "type"))
+    grouped = bounded_plan(plan).groupBy("group_no").agg(
+        entries.alias("subs"), F.count_distinct("feature").alias("n_features")
+    )
+    return F.broadcast(grouped)
+
+
+def _checked_rows(checked: DataFrame, plan: DataFrame, fails: Column, v_type: str, whole_group: bool) -> DataFrame:
+    """Apply failures to ``checked`` (id, group_no, feature, sub, type, v, broken) and lay rows out again.
+
+    Repeats are reduced per (record, feature, sub) before lists are made, so a list is no longer than
+    the group's plan. One scan and no join on the data side.
+    """
+    one = checked.groupBy("id", "group_no", "feature", "sub", "type").agg(
+        F.max("v").alias("v"), F.bool_or("broken").alias("broken")
+    )
+    entry = F.struct("feature", "sub", "type", "v")
+    lists = one.groupBy("id", "group_no").agg(
+        F.collect_list(entry).alias("entries"),
+        F.array_distinct(F.flatten(F.collect_list(
+            F.when(F.col("broken"), F.array("feature")).otherwise(F.array().cast("array<string>"))
+        ))).alias("broken_features"),
+        F.bool_or("broken").alias("broken"),
+        F.size(F.collect_set("feature")).alias("n_seen"),
+    )
+    both = lists.join(_plan_groups(plan), "group_no")
+
+    def blank(sub: Column) -> Column:
+        nothing = F.lit(None).cast(v_type).alias("v")
+        return F.struct(sub["feature"].alias("feature"), sub["sub"].alias("sub"), sub["type"].alias("type"), nothing)
+
+    def emptied(sub: Column) -> Column:
+        """Sub-features whose feature came as an empty object or failed on its own."""
+        came_empty = F.exists("entries", lambda e: e["sub"].isNull() & (e["feature"] == sub["feature"]))
+        return came_empty if whole_group else came_empty | F.array_contains("broken_features", sub["feature"])
+
+    def kept(e: Column) -> Column:
+        usable = e["sub"].isNotNull() & e["type"].isNotNull()
+        return usable if whole_group else usable & ~F.array_contains("broken_features", e["feature"])
+
+    fine = F.concat(F.filter("entries", kept), F.transform(F.filter("subs", emptied), blank))
+    rows = F.when(fails, F.transform("subs", blank)).otherwise(fine) if whole_group else fine
+    return both.select("id", "group_no", F.explode(rows).alias("e")).select("id", "group_no", "e.*").select(
+        *VALUE_KEY, "type", "v.*"
+    )
 
 
 def coerce(
@@ -81,42 +133,22 @@ def coerce(
     giving nulls for all its sub-features, if a feature is missing, a sub-key is unknown (unless
     ``on_unknown_key="drop"``) or a list holds lists or objects. Any other bad value only turns null.
     """
-    subs = bounded_plan(plan)
-    planned = F.broadcast(subs.groupBy("group_no", "feature").agg(F.count(F.lit(1)).alias("n_subs")))
-    wanted = F.broadcast(planned.groupBy("group_no").agg(F.count(F.lit(1)).alias("n_features")))
-
-    known = values.join(planned, ["group_no", "feature"], "left_semi")
-    tagged = known.join(subs, ["group_no", "feature", "sub"], "left").withColumn("text", _clean(F.col("raw")))
-    unknown = F.col("sub").isNotNull() & F.col("type").isNull()
+    tagged = _tag(values, plan)
+    planned = F.col("feature").isNotNull()
+    unknown = planned & F.col("sub").isNotNull() & F.col("type").isNull()
     nested = (F.col("type") == "multi-categorical") & F.coalesce(_nested_list(F.col("text")), F.lit(False))
-    broken = nested if on_unknown_key == "drop" else unknown | nested
-
-    # Features per group are bounded by the plan, so the collected set is too. All attempted groups
-    # count, also those that returned only unplanned features.
-    attempted = values.join(planned, ["group_no", "feature"], "left").select(
-        "id", "group_no", F.lit(False).alias("broken"),
-        F.when(F.col("n_subs").isNotNull(), F.col("feature")).alias("feature"),
-    )
-    status = (
-        attempted.unionByName(tagged.filter(broken).select("id", "group_no", F.lit(True).alias("broken"), "feature"))
-        .groupBy("id", "group_no")
-        .agg(F.bool_or("broken").alias("broken"), F.size(F.collect_set("feature")).alias("n_seen"))
-    )
-    failed = (
-        status.join(wanted, "group_no")
-        .filter(F.col("broken") | (F.col("n_seen") < F.col("n_features")))
-        .select("id", "group_no")
+    nested = F.coalesce(nested, F.lit(False))
+    v = F.struct(*_typed(F.col("type"), F.col("text"), F.col("possible_values"), lenient_float))
+    checked = tagged.select(
+        "id", "group_no", "feature", F.when(F.col("type").isNotNull(), F.col("sub")).alias("sub"), "type",
+        v.alias("v"), (nested if on_unknown_key == "drop" else unknown | nested).alias("broken"),
+        unknown.alias("unknown"),
     )
-    good = tagged.join(failed, ["id", "group_no"], "left_anti")
-    typed = good.filter(F.col("type").isNotNull()).select(
-        *VALUE_KEY, "type", *_typed(F.col("type"), F.col("text"), F.col("possible_values"), lenient_float)
-    )
-    empty = (
-        good.filter(F.col("sub").isNull()).select("id", "group_no", "feature")
-        .join(subs, ["group_no", "feature"]).select(*VALUE_KEY, "type", *_empty_typed())
-    )
-    lost = failed.join(subs, "group_no").select(*VALUE_KEY, "type", *_empty_typed())
-    return typed.unionByName(empty).unionByName(lost)
+    if on_unknown_key == "drop":
+        # The feature still counts as given, but its unknown key leaves no row behind.
+        checked = checked.withColumn("sub", F.when(F.col("unknown"), "").otherwise(F.col("sub")))
+    fails = F.col("broken") | (F.col("n_seen") < F.col("n_features"))
+    return _checked_rows(checked.drop("unknown"), plan, fails, "struct<num:double,txt:string,items:array<string>>", True)
 
 
 def coerce_strict(values: DataFrame, plan: DataFrame) -> DataFrame:
@@ -124,10 +156,7 @@ def coerce_strict(values: DataFrame, plan: DataFrame) -> DataFrame:
 
     Boolean words are case-sensitive, and multi-categorical values stay JSON text (in ``txt``).
     """
-    subs = bounded_plan(plan)
-    planned = F.broadcast(subs.groupBy("group_no", "feature").agg(F.count(F.lit(1)).alias("n_subs")))
-    known = values.join(planned, ["group_no", "feature"], "left_semi")
-    tagged = known.join(subs, ["group_no", "feature", "sub"], "left").withColumn("text", _clean(F.col("raw")))
+    tagged = _tag(values, plan).filter("feature is not null")
     kind, text, allowed = F.col("type"), F.col("text"), F.col("possible_values")
     number = (
         F.when(kind == "boolean", to_boolean(text, case_sensitive=True))
@@ -138,16 +167,15 @@ def coerce_strict(values: DataFrame, plan: DataFrame) -> DataFrame:
         F.when((kind == "categorical") & F.array_contains(allowed, text), text)
         .when((kind == "multi-categorical") & _checked_items(text, allowed).isNotNull(), text)
     )
-    checked = tagged.withColumn("num", number).withColumn("txt", label)
+    typed = tagged.withColumn("num", number).withColumn("txt", label)
     bad = F.when(kind.isNull(), F.col("sub").isNotNull()).otherwise(
         text.isNotNull() & F.col("num").isNull() & F.col("txt").isNull()
     )
-    failing = checked.filter(bad | F.col("sub").isNull()).select("id", "group_no", "feature").distinct()
-    good = checked.join(failing, ["id", "group_no", "feature"], "left_anti").select(*VALUE_KEY, "type", "num", "txt")
-    lost = failing.join(subs, ["group_no", "feature"]).select(
-        *VALUE_KEY, "type", F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("txt")
+    checked = typed.select(
+        "id", "group_no", "feature", F.when(kind.isNotNull(), F.col("sub")).alias("sub"), "type",
+        F.struct("num", "txt").alias("v"), bad.alias("broken"),
     )
-    return good.unionByName(lost)
+    return _checked_rows(checked, plan, F.lit(False), "struct<num:double,txt:string>", False)
 
 
 # ---- merging --------------------------------------------------------------------------------------

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.lists import first_items
 from tidemark.functions.text import encode_json
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
-from tidemark.operators.dense import DEFAULT_DIM, bucket_counts, bucket_idf, hashed_tfidf, search_dense
+from tidemark.operators.dense import (
+    DEFAULT_DIM, bucket_counts, bucket_idf, hashed_tfidf, search_dense, term_counts,
+)
 from tidemark.operators.etl import recode_outcome
 from tidemark.operators.keyword import SCORE_DECIMALS, KeywordIndex, build_postings, search_keyword
 from tidemark.operators.topk import top_k_per_key
@@ -42,15 +44,17 @@ def build_index(corpus: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, dim: int
     keyword = build_postings(chunks)
     keyword = KeywordIndex(keyword.chunks, materialize(keyword.postings, "postings"))
     key = ["id", "chunk_no", "doc_date"]
+    counts = bucket_counts(keyword.postings, key, dim)
     n = chunks.agg(F.count(F.lit(1))).scalar()
-    idf = materialize(bucket_idf(bucket_counts(chunks, key, "chunk", dim), n), "idf")
-    vectors = materialize(hashed_tfidf(chunks, key, "chunk", idf, dim), "vectors")
+    idf = materialize(bucket_idf(counts, n), "idf")
+    vectors = materialize(hashed_tfidf(counts, key, idf, dim), "vectors")
     return SearchIndex(chunks, keyword, vectors, idf, dim)
 
 
 def encode_queries(queries: DataFrame, index: SearchIndex) -> DataFrame:
-    vectors = hashed_tfidf(queries, ["query_id", "as_of"], "text", index.idf, index.dim)
-    return vectors.withColumnRenamed("vec", "qvec")
+    key = ["query_id", "as_of"]
+    counts = bucket_counts(term_counts(queries, key, "text"), key, index.dim)
+    return hashed_tfidf(counts, key, index.idf, index.dim).withColumnRenamed("vec", "qvec")
 
 
 def _min_max(score: str) -> Column:

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.text import encode_json
 
@@ -23,6 +25,8 @@ PLAN_SCHEMA = (
     "possible_values array<string>, example_values array<string>, instructions string"
 )
 
+SUB_SCHEMA = "group_no int, feature string, sub string, type string, possible_values array<string>"
+
 # A plan becomes columns, so it has to stay small; larger plans are an error, not a slow job.
 MAX_PLAN_ROWS = 5_000
 
@@ -40,8 +44,14 @@ class SubFeature(NamedTuple):
 
 
 def plan_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    names = [part.strip().split(" ")[0] for part in PLAN_SCHEMA.split(",")]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], PLAN_SCHEMA)
+    return local_table(spark, rows, PLAN_SCHEMA)
+
+
+def local_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table that is part of the plan itself: reading it starts no tasks."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = {f.name: [r.get(f.name) for r in rows] for f in arrow}
+    return spark.createDataFrame(pa.table(columns, schema=arrow), schema)
 
 
 def collect_plan(plan: DataFrame) -> list[SubFeature]:
@@ -54,11 +64,9 @@ def collect_plan(plan: DataFrame) -> list[SubFeature]:
 
 
 def bounded_plan(plan: DataFrame) -> DataFrame:
-    """A plan that may be broadcast, as its size has been checked."""
+    """The plan as a local table that may be broadcast, as its size has been checked."""
     subs = collect_plan(plan)
-    schema = "group_no int, feature string, sub string, type string, possible_values array<string>"
-    rows = [(s.group_no, s.feature, s.sub, s.type, list(s.possible_values)) for s in subs]
-    return F.broadcast(plan.sparkSession.createDataFrame(rows, schema))
+    return local_table(plan.sparkSession, [s._asdict() | {"possible_values": list(s.possible_values)} for s in subs], SUB_SCHEMA)
 
 
 def check_plan(types: DataFrame, values: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidemark.queries.registry import ORACLES, QUERIES
 
-MODULES = ["sources", "records", "scalars", "retrieval", "features"]
+MODULES = ["sources", "records", "scalars", "retrieval", "features", "evaluation", "experiments", "incremental"]
 
 
 def _load() -> None:

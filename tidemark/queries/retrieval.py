@@ -125,8 +125,8 @@ def r2(spark, d):
     chunks = chunk(corpus(spark, d), "text")
     key = ["id", "chunk_no"]
     n = chunks.agg(F.count(F.lit(1))).scalar()
-    idf = dense.bucket_idf(dense.bucket_counts(chunks, key, "chunk", DIM), n)
-    vectors = dense.hashed_tfidf(chunks, key, "chunk", idf, DIM)
+    counts = dense.bucket_counts(dense.term_counts(chunks, key, "chunk"), key, DIM)
+    vectors = dense.hashed_tfidf(counts, key, dense.bucket_idf(counts, n), DIM)
     cells = vectors.select(*key, F.posexplode("vec").alias("bucket", "w")).filter("w <> 0")
     return cells.select(*key, F.col("bucket").cast("bigint").alias("bucket"), F.round("w", 6).alias("weight"))
 
