@@ -12,7 +12,6 @@ from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.text import tokenize
 from tidemark.operators.keyword import SCORE_DECIMALS
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
@@ -23,15 +22,23 @@ QUERY_BLOCK_ROWS = 4096
 SCORE_CELLS = 4_000_000
 
 
-def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], batch: int = ENCODE_BATCH) -> DataFrame:
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
+
+
+def encode(
+    df: DataFrame, column: str, encoder: Callable[[list], np.ndarray], batch: int = ENCODE_BATCH, item: str = "float"
+) -> DataFrame:
     """Add ``vec`` from any encoder that turns a list of texts to a matrix, one call per batch."""
-    schema = T.StructType([*df.schema.fields, T.StructField("vec", T.ArrayType(T.FloatType()))])
+    number = {"float": T.FloatType(), "double": T.DoubleType()}[item]
+    schema = T.StructType([*df.schema.fields, T.StructField("vec", T.ArrayType(number))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch].copy()
-                part["vec"] = list(np.asarray(encoder(part[text].tolist()), dtype=np.float32))
+                part["vec"] = list(np.asarray(encoder(part[column].tolist())))
                 yield part
 
     return df.mapInPandas(run, schema)
@@ -42,41 +49,40 @@ def term_bucket(term: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
 
-def term_counts(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Term frequencies of short texts such as queries; corpora use their postings instead."""
-    tokens = df.select(*key, F.explode(tokenize(F.col(text))).alias("term"))
-    return tokens.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
+def token_buckets(tokens: Column, dim: int) -> Column:
+    return F.transform(tokens, lambda t: term_bucket(t, dim))
 
-def bucket_counts(terms: DataFrame, key: list[str], dim: int = DEFAULT_DIM) -> DataFrame:
-    """Term frequencies (key..., term, tf) summed per hash bucket."""
-    bucket = term_bucket(F.col("term"), dim).alias("bucket")
-    return terms.groupBy(*key, bucket).agg(F.sum("tf").alias("tf"))
 
+def bucket_idf(buckets: DataFrame, column: str, dim: int) -> np.ndarray:
+    """Smoothed inverse document frequency per bucket: ``ln((n + 1) / (df + 1))``, 0 for unseen ones.
 
-def bucket_idf(counts: DataFrame, n: Column) -> DataFrame:
-    """Smoothed inverse document frequency of each bucket: ``ln((n + 1) / (df + 1))``."""
-    frequency = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    return frequency.select("bucket", F.log((n + 1) / (F.col("df") + 1)).alias("idf"))
+    ``dim`` counts come back to the driver, whatever the size of the corpus.
+    """
+    seen = buckets.select(F.explode(F.array_append(F.array_distinct(column), F.lit(-1))).alias("b"))
+    counts = {r["b"]: r["n"] for r in seen.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = counts.pop(-1, 0)
+    idf = np.zeros(dim)
+    for bucket, df in counts.items():
+        idf[bucket] = np.log((n + 1) / (df + 1))
+    return idf
 
 
-def hashed_tfidf(counts: DataFrame, key: list[str], idf: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:
-    """The offline encoder: hashed term counts times idf, scaled to length 1, as ``key..., vec``.
+def hashed_tfidf(df: DataFrame, buckets: str, idf: np.ndarray) -> DataFrame:
+    """The offline encoder: counts per hash bucket times idf, scaled to length 1, as ``vec``.
 
-    Texts without any weighted term are left out (they have no direction). ``idf`` has at most
-    ``dim`` rows, and a row collects at most ``dim`` buckets.
+    Nothing is grouped or shuffled. Texts without any weighted term have no direction and are left out.
     """
-    weighted = counts.join(F.broadcast(idf), "bucket")
-    weighted = weighted.withColumn("w", F.col("tf") * F.col("idf")).filter("w != 0")
-    rows = weighted.groupBy(*key).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("weights"),
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("weights", i) / F.col("norm"), F.lit(0.0)),
-    )
-    return rows.select(*key, dense.alias("vec"))
+    dim = len(idf)
+
+    def encoder(rows: list) -> np.ndarray:
+        sizes = np.fromiter((len(r) for r in rows), dtype=np.int64, count=len(rows))
+        cells = np.repeat(np.arange(len(rows)), sizes) * dim
+        flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if sizes.sum() else cells
+        counts = np.bincount(cells + flat, minlength=len(rows) * dim).reshape(len(rows), dim)
+        return _unit_rows(counts * idf)
+
+    vectors = encode(df, buckets, encoder, item="double").drop(buckets)
+    return vectors.filter(F.exists("vec", lambda x: x != 0))
 
 
 class _Best:
@@ -94,11 +100,6 @@ class _Best:
         self.hits[query] = found.head(self.k)
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-
-
 def _local_top_k(block: pd.DataFrame, k: int):
     """Batch function: score Arrow batches against one query block, emit only this task's best hits."""
     queries = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in block["qvec"]]))

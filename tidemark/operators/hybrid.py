@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.lists import first_items
-from tidemark.functions.text import encode_json
+from tidemark.functions.text import encode_json, tokenize
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
-from tidemark.operators.dense import (
-    DEFAULT_DIM, bucket_counts, bucket_idf, hashed_tfidf, search_dense, term_counts,
-)
+from tidemark.operators.dense import DEFAULT_DIM, bucket_idf, hashed_tfidf, search_dense, token_buckets
 from tidemark.operators.etl import recode_outcome
-from tidemark.operators.keyword import SCORE_DECIMALS, KeywordIndex, build_postings, search_keyword
+from tidemark.operators.keyword import SCORE_DECIMALS, KeywordIndex, build_postings, search_keyword, with_tokens
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
 from tidemark.sources.store import materialize_missing
@@ -25,13 +24,12 @@ DIVIDER = "\n\n---------\n\n"
 
 
 class SearchIndex(NamedTuple):
-    """``chunks`` (id, chunk_no, doc_date, chunk), keyword postings, chunk vectors and bucket idf."""
+    """``chunks`` (id, chunk_no, doc_date, chunk, tokens), keyword postings, chunk vectors, bucket idf."""
 
     chunks: DataFrame
     keyword: KeywordIndex
     vectors: DataFrame
-    idf: DataFrame
-    dim: int
+    idf: np.ndarray
 
 
 def build_index(corpus: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, dim: int = DEFAULT_DIM) -> SearchIndex:
@@ -40,21 +38,17 @@ def build_index(corpus: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, dim: int
     Rows without a date are left out, as no as-of search could return them.
     """
     dated = corpus.select("id", "doc_date", "text").dropna(subset=["doc_date"])
-    chunks = materialize(chunk(dated, "text", max_chars), "chunks")
-    keyword = build_postings(chunks)
-    keyword = KeywordIndex(keyword.chunks, materialize(keyword.postings, "postings"))
-    key = ["id", "chunk_no", "doc_date"]
-    counts = bucket_counts(keyword.postings, key, dim)
-    n = chunks.agg(F.count(F.lit(1))).scalar()
-    idf = materialize(bucket_idf(counts, n), "idf")
-    vectors = materialize(hashed_tfidf(counts, key, idf, dim), "vectors")
-    return SearchIndex(chunks, keyword, vectors, idf, dim)
+    chunks = materialize(with_tokens(chunk(dated, "text", max_chars)), "chunks")
+    hashed = chunks.select("id", "chunk_no", "doc_date", token_buckets(F.col("tokens"), dim).alias("buckets"))
+    idf = bucket_idf(hashed, "buckets", dim)
+    vectors = materialize(hashed_tfidf(hashed, "buckets", idf), "vectors")
+    return SearchIndex(chunks, build_postings(chunks), vectors, idf)
 
 
 def encode_queries(queries: DataFrame, index: SearchIndex) -> DataFrame:
-    key = ["query_id", "as_of"]
-    counts = bucket_counts(term_counts(queries, key, "text"), key, index.dim)
-    return hashed_tfidf(counts, key, index.idf, index.dim).withColumnRenamed("vec", "qvec")
+    buckets = token_buckets(tokenize(F.col("text")), len(index.idf))
+    hashed = queries.select("query_id", "as_of", buckets.alias("buckets"))
+    return hashed_tfidf(hashed, "buckets", index.idf).withColumnRenamed("vec", "qvec")
 
 
 def _min_max(score: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import tokenize
 from tidemark.operators.topk import top_k_per_key
+from tidemark.session import materialize
 
 # The usual BM25 settings.
 BM25_K1 = 1.2
@@ -27,22 +28,24 @@ class KeywordIndex(NamedTuple):
     postings: DataFrame
 
 
-def tokenized(chunks: DataFrame) -> DataFrame:
-    return chunks.select(*CHUNK_KEY, "doc_date", tokenize(F.col("chunk")).alias("tokens"))
+def with_tokens(chunks: DataFrame) -> DataFrame:
+    return chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", tokenize(F.col("chunk")))
 
 
 def build_postings(chunks: DataFrame) -> KeywordIndex:
-    """Postings of a chunk table (id, chunk_no, doc_date, chunk).
+    """Postings of a chunk table (id, chunk_no, doc_date, chunk and, if at hand, tokens).
 
-    Counting is keyed by chunk and term, so a term found everywhere is spread over all tasks.
+    Token arrays move once, by chunk; terms are laid out and counted inside that layout, so the many
+    (chunk, term) rows never shuffle and a term found everywhere is spread over all tasks.
     """
-    tokens = tokenized(chunks).withColumn("doc_len", F.size("tokens"))
+    tokens = with_tokens(chunks).select(*CHUNK_KEY, "doc_date", F.size("tokens").alias("doc_len"), "tokens")
     postings = (
-        tokens.select(*CHUNK_KEY, "doc_date", "doc_len", F.explode("tokens").alias("term"))
+        tokens.repartition(*CHUNK_KEY)
+        .select(*CHUNK_KEY, "doc_date", "doc_len", F.explode("tokens").alias("term"))
         .groupBy(*CHUNK_KEY, "doc_date", "doc_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    return KeywordIndex(tokens.drop("tokens"), postings)
+    return KeywordIndex(tokens.drop("tokens"), materialize(postings, "postings"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

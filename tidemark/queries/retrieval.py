@@ -122,13 +122,11 @@ def r1_small(spark, d):
     WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {DENSE_SQL}
     SELECT id, chunk_no, bucket, round(w, 6) AS weight FROM chunk_unit""")
 def r2(spark, d):
-    chunks = chunk(corpus(spark, d), "text")
-    key = ["id", "chunk_no"]
-    n = chunks.agg(F.count(F.lit(1))).scalar()
-    counts = dense.bucket_counts(dense.term_counts(chunks, key, "chunk"), key, DIM)
-    vectors = dense.hashed_tfidf(counts, key, dense.bucket_idf(counts, n), DIM)
-    cells = vectors.select(*key, F.posexplode("vec").alias("bucket", "w")).filter("w <> 0")
-    return cells.select(*key, F.col("bucket").cast("bigint").alias("bucket"), F.round("w", 6).alias("weight"))
+    chunks = keyword.with_tokens(chunk(corpus(spark, d), "text"))
+    hashed = chunks.select("id", "chunk_no", dense.token_buckets(F.col("tokens"), DIM).alias("buckets"))
+    vectors = dense.hashed_tfidf(hashed, "buckets", dense.bucket_idf(hashed, "buckets", DIM))
+    cells = vectors.select("id", "chunk_no", F.posexplode("vec").alias("bucket", "w")).filter("w <> 0")
+    return cells.select("id", "chunk_no", F.col("bucket").cast("bigint").alias("bucket"), F.round("w", 6).alias("weight"))
 
 
 @query("r2_encode_batches", """
