@@ -12,14 +12,13 @@ from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.operators.keyword import SCORE_DECIMALS
+from tidemark.operators.blocks import local_top_k
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
 
 DEFAULT_DIM = 256
 ENCODE_BATCH = 4096
 QUERY_BLOCK_ROWS = 4096
-SCORE_CELLS = 4_000_000
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -85,53 +84,25 @@ def hashed_tfidf(df: DataFrame, buckets: str, idf: np.ndarray) -> DataFrame:
     return vectors.filter(F.exists("vec", lambda x: x != 0))
 
 
-class _Best:
-    """The best ``k`` hits per query seen so far in one task."""
-
-    def __init__(self, k: int):
-        self.k = k
-        self.hits: dict[int, pd.DataFrame] = {}
-
-    def add(self, query: int, score: np.ndarray, ids, chunk_nos) -> None:
-        found = pd.DataFrame({"score": score, "id": ids, "chunk_no": chunk_nos})
-        if query in self.hits:
-            found = pd.concat([self.hits[query], found])
-        found = found.sort_values(["score", "id", "chunk_no"], ascending=[False, True, True])
-        self.hits[query] = found.head(self.k)
-
-
-def _local_top_k(block: pd.DataFrame, k: int):
-    """Batch function: score Arrow batches against one query block, emit only this task's best hits."""
+def _cosine_top_k(block: pd.DataFrame, k: int):
+    """Batch function: cosine of one query block against vector rows."""
     queries = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in block["qvec"]]))
-    bound = block["as_of_day"].fillna(np.inf).to_numpy(dtype=np.float64)
-    probes = [set(p) for p in block["cells"]] if "cells" in block else None
-    step = max(1, SCORE_CELLS // len(block))
+    probing = "cells" in block
+    pairs = {(q, c) for q, cells in enumerate(block["cells"]) for c in cells} if probing else set()
+    n_cells = 1 + max((c for _, c in pairs), default=-1)
+    probes = np.zeros((len(block), n_cells + 1), dtype=bool)
+    for pair in pairs:
+        probes[pair] = True
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(k)
-        for pdf in batches:
-            for start in range(0, len(pdf), step):
-                part = pdf.iloc[start:start + step]
-                vectors = _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]]))
-                scores = np.round(queries @ vectors.T, SCORE_DECIMALS)
-                day = part["day"].to_numpy(dtype=np.float64)
-                ids, chunk_nos = part["id"].to_numpy(), part["chunk_no"].to_numpy()
-                for q in range(len(block)):
-                    # A row without a date is seen only by queries without a bound.
-                    seen = (day < bound[q]) | np.isinf(bound[q])
-                    if probes is not None:
-                        seen &= part["cell"].isin(probes[q]).to_numpy()
-                    pick = np.flatnonzero(seen)
-                    if len(pick) > k:
-                        cut = np.partition(scores[q, pick], len(pick) - k)[len(pick) - k]
-                        pick = pick[scores[q, pick] >= cut]
-                    if len(pick):
-                        best.add(q, scores[q, pick], ids[pick], chunk_nos[pick])
-        for q, hits in best.hits.items():
-            hits.insert(0, "query_id", block["query_id"].iloc[q])
-            yield hits[["query_id", "id", "chunk_no", "score"]]
-
-    return run
+    def score(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        scores = queries @ _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])).T
+        if not probing:
+            return scores, np.ones_like(scores, dtype=bool)
+        # Cells that no query of the block probes share the last, always empty, column.
+        return scores, probes[:, np.minimum(part["cell"].to_numpy(), n_cells)]
+
+    bounds = block["as_of_day"].astype("float64").fillna(np.inf).to_numpy()
+    return local_top_k(score, block["query_id"].tolist(), bounds, k)
 
 
 def search_dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -164,7 +135,7 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFra
     found = None
     for block in blocks:
         if len(block):
-            part = side.mapInPandas(_local_top_k(block, k), schema)
+            part = side.mapInPandas(_cosine_top_k(block, k), schema)
             found = part if found is None else found.unionByName(part)
     if found is None:
         found = queries.sparkSession.createDataFrame([], schema)

@@ -12,7 +12,8 @@ from tidemark.functions.text import encode_json, tokenize
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
 from tidemark.operators.dense import DEFAULT_DIM, bucket_idf, hashed_tfidf, search_dense, token_buckets
 from tidemark.operators.etl import recode_outcome
-from tidemark.operators.keyword import SCORE_DECIMALS, KeywordIndex, build_postings, search_keyword, with_tokens
+from tidemark.operators.blocks import SCORE_DECIMALS
+from tidemark.operators.keyword import search_keyword, token_table, with_tokens
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
 from tidemark.sources.store import materialize_missing
@@ -24,10 +25,10 @@ DIVIDER = "\n\n---------\n\n"
 
 
 class SearchIndex(NamedTuple):
-    """``chunks`` (id, chunk_no, doc_date, chunk, tokens), keyword postings, chunk vectors, bucket idf."""
+    """``chunks`` (id, chunk_no, doc_date, chunk, tokens), token table, chunk vectors, bucket idf."""
 
     chunks: DataFrame
-    keyword: KeywordIndex
+    tokens: DataFrame
     vectors: DataFrame
     idf: np.ndarray
 
@@ -42,7 +43,7 @@ def build_index(corpus: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, dim: int
     hashed = chunks.select("id", "chunk_no", "doc_date", token_buckets(F.col("tokens"), dim).alias("buckets"))
     idf = bucket_idf(hashed, "buckets", dim)
     vectors = materialize(hashed_tfidf(hashed, "buckets", idf), "vectors")
-    return SearchIndex(chunks, build_postings(chunks), vectors, idf)
+    return SearchIndex(chunks, token_table(chunks), vectors, idf)
 
 
 def encode_queries(queries: DataFrame, index: SearchIndex) -> DataFrame:
@@ -73,7 +74,7 @@ def search_hybrid(queries: DataFrame, index: SearchIndex, k: int = HITS, weight:
     """``queries`` (query_id, text, as_of) to the ``k`` best chunks each, dated before ``as_of``."""
     wide = k * CANDIDATE_FACTOR
     dense = search_dense(encode_queries(queries, index), index.vectors, wide)
-    return combine(dense, search_keyword(queries, index.keyword, wide), k, weight)
+    return combine(dense, search_keyword(queries, index.tokens, wide), k, weight)
 
 
 def attach_parent(hits: DataFrame, parent: DataFrame) -> DataFrame:

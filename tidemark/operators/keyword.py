@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import tokenize
+from tidemark.operators.blocks import SCORE_DECIMALS, local_top_k
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
 
@@ -14,15 +18,14 @@ from tidemark.session import materialize
 BM25_K1 = 1.2
 BM25_B = 0.75
 
-# Scores are ranked after rounding: sums of doubles depend on their order, and equal texts must tie.
-SCORE_DECIMALS = 6
-MAX_BROADCAST_TERMS = 1_000_000
+# Query terms that are sent to the tasks at a time.
+MAX_BLOCK_TERMS = 1_000_000
 
 CHUNK_KEY = ["id", "chunk_no"]
 
 
 class KeywordIndex(NamedTuple):
-    """``chunks``: id, chunk_no, doc_date, doc_len. ``postings``: those columns with term and tf."""
+    """``chunks``: id, chunk_no, doc_date, doc_len, tokens. ``postings``: the first four, term and tf."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -32,20 +35,23 @@ def with_tokens(chunks: DataFrame) -> DataFrame:
     return chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", tokenize(F.col("chunk")))
 
 
-def build_postings(chunks: DataFrame) -> KeywordIndex:
-    """Postings of a chunk table (id, chunk_no, doc_date, chunk and, if at hand, tokens).
+def token_table(chunks: DataFrame) -> DataFrame:
+    """What keyword search reads: id, chunk_no, doc_date, doc_len, tokens."""
+    return with_tokens(chunks).select(*CHUNK_KEY, "doc_date", F.size("tokens").alias("doc_len"), "tokens")
+
+
+def build_postings(tokens: DataFrame) -> DataFrame:
+    """Postings (id, chunk_no, doc_date, doc_len, term, tf) of a token table.
 
     Token arrays move once, by chunk; terms are laid out and counted inside that layout, so the many
     (chunk, term) rows never shuffle and a term found everywhere is spread over all tasks.
     """
-    tokens = with_tokens(chunks).select(*CHUNK_KEY, "doc_date", F.size("tokens").alias("doc_len"), "tokens")
-    postings = (
+    return (
         tokens.repartition(*CHUNK_KEY)
         .select(*CHUNK_KEY, "doc_date", "doc_len", F.explode("tokens").alias("term"))
         .groupBy(*CHUNK_KEY, "doc_date", "doc_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    return KeywordIndex(tokens.drop("tokens"), materialize(postings, "postings"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -55,6 +61,87 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
+def _term_blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """Query terms cut to blocks of at most about MAX_BLOCK_TERMS rows, by query."""
+    terms = query_terms(queries)
+    n = terms.limit(MAX_BLOCK_TERMS + 1).count()
+    if n <= MAX_BLOCK_TERMS:
+        yield terms
+        return
+    terms = materialize(terms, "query-terms")
+    blocks = -(-terms.count() * 3 // (2 * MAX_BLOCK_TERMS))
+    for b in range(blocks):
+        yield terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+
+
+def _best(parts: list[DataFrame], k: int) -> DataFrame:
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return top_k_per_key(found, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)
+
+
+def search_keyword(queries: DataFrame, tokens: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` best chunks of every query by BM25, dated strictly before the query's ``as_of``.
+
+    A query without a bound sees everything. Counts and the mean length are those of the whole corpus.
+
+    Token rows are scored where they lie and each task emits its own ``k`` best per query, so the
+    shuffle carries queries x tasks x k rows. Query terms go out in blocks of bounded size, one pass
+    over the tokens per block.
+    """
+    n, mean_len = tokens.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+    rows = tokens.select(*CHUNK_KEY, F.unix_date("doc_date").alias("day"), "doc_len", "tokens")
+    fields = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *tokens.schema.fields]}
+    schema = f"query_id {fields['query_id']}, id {fields['id']}, chunk_no {fields['chunk_no']}, score double"
+
+    parts = []
+    for terms in _term_blocks(queries):
+        vocabulary = F.broadcast(terms.select("term").distinct())
+        seen = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(vocabulary, "term", "left_semi")
+        frequency = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        block = terms.join(F.broadcast(frequency), "term").select(
+            "query_id", F.unix_date("as_of").alias("as_of_day"), "term", "df"
+        ).toPandas()
+        if len(block):
+            parts.append(rows.mapInPandas(_bm25_top_k(block, n, mean_len, k), schema))
+    return _best(parts or [queries.sparkSession.createDataFrame([], schema)], k)
+
+
+def _bm25_top_k(block: pd.DataFrame, n: int, mean_len: float, k: int):
+    """Batch function: BM25 of one block of query terms against token rows."""
+    block = block.sort_values("term", kind="stable")
+    vocabulary = pd.Index(block["term"].unique())
+    term_no = vocabulary.get_indexer(block["term"])
+    first = np.searchsorted(term_no, np.arange(len(vocabulary)))
+    uses = np.bincount(term_no, minlength=len(vocabulary))
+    query_no, query_ids = pd.factorize(block["query_id"])
+    bounds = block.groupby(query_no)["as_of_day"].first().astype("float64").fillna(np.inf).to_numpy()
+    df = block["df"].to_numpy(dtype=np.float64)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    n_queries = len(query_ids)
+
+    def score(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        sizes = part["tokens"].str.len().to_numpy()
+        flat = np.concatenate(part["tokens"].tolist()) if sizes.sum() else np.array([], dtype=object)
+        found = vocabulary.get_indexer(flat)
+        cells = np.repeat(np.arange(len(part)), sizes) * len(vocabulary) + found
+        cells, tf = np.unique(cells[found >= 0], return_counts=True)
+        row, term = np.divmod(cells, len(vocabulary))
+        norm = BM25_K1 * (1 - BM25_B + BM25_B * part["doc_len"].to_numpy() / mean_len)
+        weight = tf * (BM25_K1 + 1) / (tf + norm[row])
+        # Every (row, term) entry meets each query that uses the term.
+        times = uses[term]
+        starts = np.cumsum(times) - times
+        entry = np.repeat(first[term] - starts, times) + np.arange(times.sum())
+        pair = query_no[entry] * len(part) + np.repeat(row, times)
+        scores = np.bincount(pair, np.repeat(weight, times) * idf[entry], minlength=n_queries * len(part))
+        scores = scores.reshape(n_queries, len(part))
+        return scores, scores > 0
+
+    return local_top_k(score, query_ids.tolist(), bounds, k)
+
+
 def bm25_idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -63,29 +150,17 @@ def bm25_weight(tf: Column, doc_len: Column, mean_len: Column) -> Column:
     return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * doc_len / mean_len))
 
 
-def search_keyword(queries: DataFrame, index: KeywordIndex, k: int = 10) -> DataFrame:
-    """The ``k`` best chunks of every query by BM25, dated strictly before the query's ``as_of``.
-
-    A query without a bound sees everything. Counts and the mean length are those of the whole corpus.
+def search_postings(queries: DataFrame, index: KeywordIndex, k: int = 10) -> DataFrame:
+    """Same answer as ``search_keyword``, by joins over a postings table.
 
-    The surviving postings shuffle once, by chunk. Queries are joined and scores summed inside that
-    layout, and each task keeps its own ``k`` best per query, so (query, chunk) pairs never move.
-    Query terms are broadcast in blocks of checked size, one pass over the postings per block.
+    The choice for few, selective terms: only postings of the queries' terms are kept. They shuffle
+    once, by chunk; queries are joined and scores summed inside that layout, and each task keeps its
+    own ``k`` best per query, so (query, chunk) pairs never move.
     """
-    terms = query_terms(queries)
-    n_terms = terms.count()
-    blocks = max(1, -(-n_terms * 3 // (2 * MAX_BROADCAST_TERMS))) if n_terms > MAX_BROADCAST_TERMS else 1
-    parts = []
-    for block in range(blocks):
-        part = terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        parts.append(_search_block(part, index, k))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return _best([_score_block(terms, index) for terms in _term_blocks(queries)], k)
 
 
-def _search_block(terms: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
+def _score_block(terms: DataFrame, index: KeywordIndex) -> DataFrame:
     vocabulary = F.broadcast(terms.select("term").distinct())
     matched = index.postings.join(vocabulary, "term", "left_semi")
 
@@ -100,11 +175,10 @@ def _search_block(terms: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
     score = F.round(
         F.sum(F.col("idf") * bm25_weight(F.col("tf"), F.col("doc_len"), mean_len)), SCORE_DECIMALS
     )
-    scored = (
+    return (
         matched.repartition(*CHUNK_KEY)
         .join(F.broadcast(weighted), "term")
         .filter(before)
         .groupBy("query_id", *CHUNK_KEY)
         .agg(score.alias("score"))
     )
-    return top_k_per_key(scored, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)

@@ -9,7 +9,7 @@ from tidemark.functions import format_day
 from tidemark.operators import dense, hybrid, keyword
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
 from tidemark.queries.registry import DOC_DATE_SQL, QUERY_DATE_SQL, doc_date, query, query_date, table
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 from tidemark.sources.readers import spread
 
 DIM = 64
@@ -185,21 +185,30 @@ def r4_all(spark, d):
     return dense.search_ann(label_means(spark, d), index, 10, nprobe=8)
 
 
-def keyword_index(spark: SparkSession, d: str) -> keyword.KeywordIndex:
-    return keyword.build_postings(chunk(corpus(spark, d), "text"))
+def token_rows(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(keyword.token_table(chunk(corpus(spark, d), "text")), "tokens")
 
 
 @query("r5_build_postings", f"""
     WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL}
     SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM postings GROUP BY term""")
 def r5_postings(spark, d):
-    return keyword_index(spark, d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    postings = keyword.build_postings(keyword.token_table(chunk(corpus(spark, d), "text")))
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("r5_search_keyword", f"""
     WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL} SELECT * FROM {top_sql("keyword_scores", 10)}""")
 def r5(spark, d):
-    return keyword.search_keyword(passages(spark, d), keyword_index(spark, d), 10)
+    return keyword.search_keyword(passages(spark, d), token_rows(spark, d), 10)
+
+
+@query("r5_search_postings", f"""
+    WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL} SELECT * FROM {top_sql("keyword_scores", 10)}""")
+def r5_search_postings(spark, d):
+    tokens = token_rows(spark, d)
+    postings = materialize(keyword.build_postings(tokens), "postings")
+    return keyword.search_postings(passages(spark, d), keyword.KeywordIndex(tokens, postings), 10)
 
 
 @query("r6_search_hybrid", f"{FULL_SQL} SELECT query_id, id, chunk_no, score, rank FROM hits")
@@ -244,7 +253,7 @@ def r8(spark, d):
     SELECT query_id, id, chunk_no, score, rank FROM found
     UNION ALL SELECT query_id + 100000000, id, chunk_no, score, rank FROM found""")
 def r9(spark, d):
-    index = keyword_index(spark, d)
+    index = token_rows(spark, d)
     asked = passages(spark, d)
     repeated = asked.unionByName(asked.withColumn("query_id", F.col("query_id") + 100000000))
     store = scratch_path(spark, "searches")
@@ -261,7 +270,7 @@ def r9(spark, d):
     SELECT query_id, count(*) AS hits, max(doc_date) < min(as_of) AS all_before FROM {top_sql("keyword_scores", 10)} h
     JOIN chunks USING (id, chunk_no) JOIN q USING (query_id) GROUP BY query_id""")
 def j7(spark, d):
-    hits = keyword.search_keyword(passages(spark, d), keyword_index(spark, d), 10)
+    hits = keyword.search_keyword(passages(spark, d), token_rows(spark, d), 10)
     dated = hits.withColumn("doc_date", doc_date(F.col("id"))).withColumn("as_of", query_date(F.col("query_id")))
     return dated.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("hits"), (F.max("doc_date") < F.min("as_of")).alias("all_before")
@@ -272,7 +281,7 @@ def j7(spark, d):
     WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL}
     SELECT query_id, rank, id, chunk_no, score, lang, source, n_chars FROM {top_sql("keyword_scores", 10)} h JOIN documents ON doc_id = id""")
 def j10(spark, d):
-    hits = keyword.search_keyword(passages(spark, d), keyword_index(spark, d), 10)
+    hits = keyword.search_keyword(passages(spark, d), token_rows(spark, d), 10)
     parent = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
     return hybrid.attach_parent(hits, parent)
 
@@ -281,5 +290,5 @@ def j10(spark, d):
     WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL}
     SELECT query_id, count(*) AS n, max(rank)::INT AS last_rank FROM {top_sql("keyword_scores", 3)} GROUP BY query_id""")
 def l2(spark, d):
-    hits = keyword.search_keyword(passages(spark, d), keyword_index(spark, d), 3)
+    hits = keyword.search_keyword(passages(spark, d), token_rows(spark, d), 3)
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last_rank"))
