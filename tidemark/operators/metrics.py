@@ -12,13 +12,15 @@ BUCKET_ROWS = 200_000
 MAX_BUCKETS = 4_096
 
 
-def score_buckets(df: DataFrame, order: str, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+def score_buckets(
+    df: DataFrame, order: str, bucket_rows: int = BUCKET_ROWS, at_least: int = 1
+) -> tuple[DataFrame, int]:
     """Add ``bucket``: consecutive ranges of ``order`` of about equal row counts, 0 the lowest.
 
     Bounds are quantiles held as literals, so a retried task puts every row in the same bucket.
     """
     n = df.count()
-    buckets = min(MAX_BUCKETS, max(1, -(-n // bucket_rows)))
+    buckets = min(MAX_BUCKETS, max(at_least, -(-n // bucket_rows)))
     if buckets == 1:
         return df.withColumn("bucket", F.lit(0)), 1
     probabilities = [i / buckets for i in range(1, buckets)]
@@ -53,7 +55,7 @@ def curve_points(
         .agg(positive.alias("pos"), F.count(F.lit(1)).alias("rows"))
         .select(*by, "score", "pos", (F.col("rows") - F.col("pos")).alias("neg"))
     )
-    per_score, _ = score_buckets(materialize(counted, "scores"), "score", bucket_rows)
+    per_score, _ = score_buckets(materialize(counted, "scores"), "score", bucket_rows, at_least=2)
 
     totals = per_score.groupBy(*by, "bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
