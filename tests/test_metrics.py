@@ -27,11 +27,11 @@ def direct_ap(rows):
     return total
 
 
-@pytest.mark.parametrize("distinct, bucket_rows", [(5, 1000), (400, 1000), (400, 20)])
-def test_curves(spark, distinct, bucket_rows):
+@pytest.mark.parametrize("distinct, ranges", [(5, None), (400, None), (400, 9)])
+def test_curves(spark, distinct, ranges):
     rows = fixture(300, distinct, distinct)
     df = spark.createDataFrame(rows, "id int, label int, prob double")
-    got = metrics.curve_metrics(metrics.curve_points(df, bucket_rows=bucket_rows)).first()
+    got = metrics.curve_metrics(metrics.curve_points(df, ranges=ranges)).first()
     assert got["roc_auc"] == pytest.approx(direct_auc(rows))
     assert got["pr_auc"] == pytest.approx(direct_ap(rows))
     flipped = df.withColumn("prob", -F.col("prob"))
@@ -68,7 +68,7 @@ def test_samples_repeat(spark):
 
 
 def test_history_in_ranges_equals_whole(spark):
-    """One run holds most rollouts; ranges of 40 give the same history as one range."""
+    """One run holds most rollouts; nine ranges give the same history as one range."""
     rng = random.Random(4)
     rows = [
         (run, i, i, f"0-{i}", "x" if rng.random() < 0.2 else None, rng.randint(0, 9) / 10, rng.random(), rng.random(), rng.random())
@@ -77,7 +77,7 @@ def test_history_in_ranges_equals_whole(spark):
     columns = "run_id string, seq int, rollout int, node_id string, error string, val_roc_auc double, test_roc_auc double, test_f1 double, test_pr_auc double"
     nodes = spark.createDataFrame(rows, columns)
     whole = sorted(experiments.leaderboard_history(nodes).collect())
-    assert sorted(experiments.leaderboard_history(nodes, bucket_rows=40).collect()) == whole
+    assert sorted(experiments.leaderboard_history(nodes, ranges=9).collect()) == whole
     last = next(r for r in whole if r["run_id"] == "big" and r["rollout"] == 399)
     best = sorted((r for r in rows if r[0] == "big" and r[4] is None), key=lambda r: (-r[5], r[1]))[:5]
     assert last["top5_ids"] == ",".join(r[3] for r in best)
@@ -88,3 +88,17 @@ def test_path_max_ties(spark):
     nodes = spark.createDataFrame(rows, "run_id string, node_id string, error string, val_roc_auc double")
     got = {r["leaf_id"]: (r["best_id"], r["max_reward"]) for r in experiments.path_max(nodes, max_depth=2).collect()}
     assert got == {"0-1-0": ("0-1-0", 0.7), "0-2": ("0", 0.5)}
+
+
+def test_ranks_of_a_hot_key(spark):
+    """One key holds nearly all rows and one score repeats; ranges give the ranks of a plain window."""
+    from pyspark.sql import Window
+
+    i = F.col("id")
+    df = spark.range(3000).select(F.when(i % 50 == 0, i % 7).otherwise(-1).alias("k"), (i % 3 == 0).cast("int").alias("s"), i.alias("seq"))
+    order = [F.desc("s"), F.asc("seq")]
+    plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    ranked = topk.rank_per_key(df, ["k"], order, ranges=7)
+    assert sorted(ranked.collect()) == sorted(plain.collect())
+    sizes = [r["count"] for r in topk.range_buckets(df, ["k"], order, 7).groupBy("bucket").count().collect()]
+    assert len(sizes) == 7 and max(sizes) < 3000 / 3

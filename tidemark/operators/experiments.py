@@ -12,8 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.metrics import BUCKET_ROWS, score_buckets
-from tidemark.session import materialize
+from tidemark.operators.topk import range_buckets, rank_per_key, top_k_per_key
 
 TOP_SIZES = [1, 3, 5]
 METRICS = ["test_roc_auc", "test_f1", "test_pr_auc"]
@@ -47,9 +46,11 @@ def rollup_tree(log: DataFrame, run: str = "run_id") -> DataFrame:
 
 def rank_nodes(nodes: DataFrame, by: str, run: str = "run_id", top: int | None = None) -> DataFrame:
     """Rank of explored nodes by falling score, failed ones left out, ties by creation order."""
-    window = Window.partitionBy(run).orderBy(F.desc(by), F.asc("seq"))
-    ranked = nodes.filter("error is null").withColumn("rank", F.row_number().over(window))
-    return ranked if top is None else ranked.filter(F.col("rank") <= top)
+    order = [F.desc(by), F.asc("seq")]
+    explored = nodes.filter("error is null")
+    if top is not None:
+        return top_k_per_key(explored, [run], order, top)
+    return rank_per_key(explored, [run], order)
 
 
 def leaderboard(nodes: DataFrame, by: str, run: str = "run_id") -> DataFrame:
@@ -110,8 +111,8 @@ HISTORY_COLUMNS = [
 ]
 
 
-def _fold_history(run: str, schema: str):
-    """Group function: one bucket of consecutive explorations, starting from the carried-in best nodes."""
+def _fold_history(run: str):
+    """Group function: one range of consecutive explorations, starting from the carried-in best nodes."""
     size = max(TOP_SIZES)
 
     def summary(best: list[tuple]) -> dict:
@@ -142,43 +143,33 @@ def _fold_history(run: str, schema: str):
 
 
 def leaderboard_history(
-    nodes: DataFrame, by: str = "val_roc_auc", run: str = "run_id", bucket_rows: int = BUCKET_ROWS
+    nodes: DataFrame, by: str = "val_roc_auc", run: str = "run_id", ranges: int | None = None
 ) -> DataFrame:
     """After each rollout, ids and mean test scores of the best 1, 3 and 5 nodes explored so far.
 
-    ``nodes`` has one explored node per (run, rollout). Rollouts are cut to bucket ranges; each bucket
+    ``nodes`` has one explored node per (run, rollout). A run's rollouts are cut to ranges; each range
     hands its five best on to the later ones, so a long run is many tasks and nodes are never paired
     with rollouts.
     """
     base = nodes.select(run, "rollout", "seq", "node_id", "error", F.col(by).alias("score"), *METRICS)
-    base = materialize(base, "rollouts")
-    bucketed, n_buckets = score_buckets(base, "rollout", bucket_rows)
+    bucketed = range_buckets(base, [run], [F.asc("rollout")], ranges)
     fields = {f.name: f.dataType.simpleString() for f in base.schema.fields}
 
     size = max(TOP_SIZES)
-    ranked = Window.partitionBy(run, "bucket").orderBy(F.desc("score"), F.asc("seq"))
-    tops = (
-        bucketed.filter("error is null")
-        .withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= size)
-        .groupBy(run, "bucket")
-        .agg(F.collect_list(F.struct("score", "seq", "node_id", *METRICS)).alias("tops"))
+    best = top_k_per_key(bucketed.filter("error is null"), [run, "bucket"], [F.desc("score"), F.asc("seq")], size)
+    tops = best.groupBy(run, "bucket").agg(F.collect_list(F.struct("score", "seq", "node_id", *METRICS)).alias("tops"))
+    earlier = Window.partitionBy(run).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    present = bucketed.select(run, "bucket").distinct().join(tops, [run, "bucket"], "left")
+    carried = present.select(run, "bucket", F.flatten(F.collect_list("tops").over(earlier)).alias("all"))
+    best_first = F.array_sort(
+        F.col("all"),
+        lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
+        .when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0),
     )
-    if n_buckets == 1:
-        entries = f"array<struct<score:double,seq:{fields['seq']},node_id:string,{','.join(m + ':double' for m in METRICS)}>>"
-        ready = bucketed.withColumn("carry", F.lit(None).cast(entries))
-    else:
-        earlier = Window.partitionBy(run).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        present = bucketed.select(run, "bucket").distinct().join(tops, [run, "bucket"], "left")
-        carried = present.select(run, "bucket", F.flatten(F.collect_list("tops").over(earlier)).alias("all"))
-        best_first = F.array_sort(
-            F.col("all"),
-            lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
-            .when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0),
-        )
-        carry = carried.select(run, "bucket", F.slice(best_first, 1, size).alias("carry"))
-        ready = bucketed.join(carry, [run, "bucket"], "left")
+    carry = carried.select(run, "bucket", F.slice(best_first, 1, size).alias("carry"))
+    ready = bucketed.join(carry, [run, "bucket"], "left")
 
     schema = f"{run} {fields[run]}, rollout {fields['rollout']}, " + ", ".join(
         f"{c} {'string' if c.endswith('_ids') else 'double'}" for c in HISTORY_COLUMNS
     )
-    return ready.groupBy(run, "bucket").applyInPandas(_fold_history(run, schema), schema)
+    return ready.groupBy(run, "bucket").applyInPandas(_fold_history(run), schema)

@@ -4,48 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.topk import sample_rows
-from tidemark.session import materialize
-
-# Rows of distinct scores that one task sorts; more scores mean more buckets, not bigger ones.
-BUCKET_ROWS = 200_000
-MAX_BUCKETS = 4_096
-
-
-def score_buckets(
-    df: DataFrame, order: str, bucket_rows: int = BUCKET_ROWS, at_least: int = 1
-) -> tuple[DataFrame, int]:
-    """Add ``bucket``: consecutive ranges of ``order`` of about equal row counts, 0 the lowest.
-
-    Bounds are quantiles held as literals, so a retried task puts every row in the same bucket.
-    """
-    n = df.count()
-    buckets = min(MAX_BUCKETS, max(at_least, -(-n // bucket_rows)))
-    if buckets == 1:
-        return df.withColumn("bucket", F.lit(0)), 1
-    probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(order, probabilities, 0.2 / buckets)))
-    place = _bucket_of(F.col(order), bounds, 0)
-    return df.withColumn("bucket", place), len(bounds) + 1
-
-
-def _bucket_of(value: Column, bounds: list[float], base: int) -> Column:
-    """Number of bounds below ``value``, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(base)
-    middle = len(bounds) // 2
-    below = _bucket_of(value, bounds[:middle], base)
-    above = _bucket_of(value, bounds[middle + 1:], base + middle + 1)
-    return F.when(value <= bounds[middle], below).otherwise(above)
-
+from tidemark.operators.topk import range_buckets, sample_rows
 
 def curve_points(
-    df: DataFrame, label: str = "label", score: str = "prob", by: list[str] = (), bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, label: str = "label", score: str = "prob", by: list[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Per distinct score, falling: ``pos, neg`` at it, running ``tp, fp`` down to it, totals.
 
-    Rows are counted per score first. Scores are cut to bucket ranges, each summed on its own, and
-    bucket totals (few) carry over, so no task ever sees all scores.
+    Rows are counted per score first. Distinct scores are cut to ranges, each summed on its own, and
+    range totals (few) carry over, so no task ever sees all scores.
     """
     by = list(by)
     positive = F.sum((F.col(label) == 1).cast("long"))
@@ -55,11 +22,11 @@ def curve_points(
         .agg(positive.alias("pos"), F.count(F.lit(1)).alias("rows"))
         .select(*by, "score", "pos", (F.col("rows") - F.col("pos")).alias("neg"))
     )
-    per_score, _ = score_buckets(materialize(counted, "scores"), "score", bucket_rows, at_least=2)
+    per_score = range_buckets(counted, by, [F.desc("score")], ranges)
 
     totals = per_score.groupBy(*by, "bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
-    above = group.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    above = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by, "bucket",
         F.coalesce(F.sum("b_pos").over(above), F.lit(0)).alias("tp_above"),

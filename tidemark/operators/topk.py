@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import materialize
+
 
 def top_k_per_key(df: DataFrame, key: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of every key, ranked from 1.
@@ -15,6 +17,34 @@ def top_k_per_key(df: DataFrame, key: list[str], order: list[Column], k: int, ra
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def range_buckets(df: DataFrame, key: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
+    """Add ``bucket``: ranges of rows of about equal size in (key, order), numbered in that order.
+
+    A key of any size is cut to as many ranges as its share of rows. The numbers are written down with
+    the rows, so they stay the same when a task is run again.
+    """
+    columns = [*[F.asc(k) for k in key], *order]
+    ranged = df.repartitionByRange(ranges, *columns) if ranges else df.repartitionByRange(*columns)
+    return materialize(ranged.withColumn("bucket", F.spark_partition_id()), "ranges")
+
+
+def rank_per_key(
+    df: DataFrame, key: list[str], order: list[Column], rank: str = "rank", ranges: int | None = None
+) -> DataFrame:
+    """Rank of every row within its key, from 1, without ever sorting a whole key in one task.
+
+    Rows are ranked inside their range, and the counts of earlier ranges of the key are added.
+    ``order`` must end in a unique tie-break.
+    """
+    ranged = range_buckets(df, key, order, ranges)
+    before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*key, "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "bucket").orderBy(*order))
+    ranked = ranged.withColumn("_inside", inside).join(offsets, [*key, "bucket"])
+    return ranked.withColumn(rank, (F.col("_before") + F.col("_inside")).cast("int")).drop("bucket", "_inside", "_before")
+
+
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 

@@ -73,7 +73,7 @@ def a9(spark, d):
 @query("w3_curve_points", f"""
     WITH {ORDER_SQL}, {curve_sql('scores')} SELECT prob AS score, pos::BIGINT AS pos, neg::BIGINT AS neg, tp::BIGINT AS tp, fp::BIGINT AS fp FROM curve""")
 def w3(spark, d):
-    points = metrics.curve_points(order_scores(spark, d), bucket_rows=2000)
+    points = metrics.curve_points(order_scores(spark, d), ranges=6)
     return points.select("score", "pos", "neg", "tp", "fp")
 
 

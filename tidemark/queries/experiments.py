@@ -141,4 +141,4 @@ def w6(spark, d):
 
 @query("w6_history_in_ranges", HISTORY_SQL)
 def w6_ranges(spark, d):
-    return _history(spark, d, bucket_rows=1000)
+    return _history(spark, d, ranges=10)
