@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 # Fixed value: a quoted item (single or double, with escapes) or a run without quotes.
 LITERAL_TOKENS = r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|[^'"]+|['"]"""
 
+PYTHON_CONSTANTS = r"\b(?:None|nan|True|False)\b"
+
 JSON_LENIENT = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
@@ -29,7 +31,8 @@ def _python_constants_to_json(text: Column) -> Column:
         return F.when(token.startswith("'") | token.startswith('"'), token).otherwise(plain)
 
     tokens = F.regexp_extract_all(text, F.lit(LITERAL_TOKENS), F.lit(0))
-    return F.array_join(F.transform(tokens, rewrite), "")
+    rewritten = F.array_join(F.transform(tokens, rewrite), "")
+    return F.when(text.rlike(PYTHON_CONSTANTS), rewritten).otherwise(text)
 
 
 def json_from_literal(text: Column, schema: str) -> Column:

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Where a piece that is too long is cut, coarsest first. Separators stay on the left.
+# Where a piece that is too long is cut, coarsest first, and the text each cut needs.
+# Separators stay on the left.
 SPLIT_LEVELS = [
-    r"(?s).+?(?:\n\n+|\z)",
-    r"[^\n]*\n+|[^\n]+",
-    r"(?s).+?(?:[.!?] |\z)",
-    r"[^ ]* +|[^ ]+",
+    (r"(?s).+?(?:\n\n+|\z)", "\n\n"),
+    (r"[^\n]*\n+|[^\n]+", "\n"),
+    (r"(?s).+?(?:[.!?] |\z)", " "),
+    (r"[^ ]* +|[^ ]+", " "),
 ]
 DEFAULT_MAX_CHARS = 2048
 
 
-def _cut_long(pieces: Column, pattern: str, max_chars: int) -> Column:
+def _cut_long(pieces: Column, pattern: str, max_chars: int, needs: str = "") -> Column:
+    """Cut pieces that are too long; ``needs`` is text without which the pattern cannot cut."""
+
     def cut(piece: Column) -> Column:
+        whole = F.length(piece) <= max_chars
+        if needs:
+            whole = whole | ~piece.contains(needs)
         parts = F.regexp_extract_all(piece, F.lit(pattern), F.lit(0))
-        return F.when(F.length(piece) <= max_chars, F.array(piece)).otherwise(parts)
+        return F.when(whole, F.array(piece)).otherwise(parts)
 
     return F.flatten(F.transform(pieces, cut))
 
@@ -25,9 +31,9 @@ def _cut_long(pieces: Column, pattern: str, max_chars: int) -> Column:
 def _pieces(text: Column, max_chars: int) -> Column:
     """Cut only what is longer than ``max_chars``, one level after another, at last by length."""
     pieces = F.array(text)
-    for pattern in [*SPLIT_LEVELS, rf"(?s).{{1,{max_chars}}}"]:
-        pieces = _cut_long(pieces, pattern, max_chars)
-    return pieces
+    for pattern, needs in SPLIT_LEVELS:
+        pieces = _cut_long(pieces, pattern, max_chars, needs)
+    return _cut_long(pieces, rf"(?s).{{1,{max_chars}}}", max_chars)
 
 
 def chunk_array(text: Column, max_chars: int = DEFAULT_MAX_CHARS) -> Column:
@@ -35,18 +41,21 @@ def chunk_array(text: Column, max_chars: int = DEFAULT_MAX_CHARS) -> Column:
 
     Neighbouring pieces are joined greedily. Null or empty text has no chunks.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def state(done: Column, open_: Column, size: Column) -> Column:
+        return F.struct(done.alias("done"), open_.alias("open"), size.alias("size"))
 
     def grow(acc: Column, piece: Column) -> Column:
-        fits = F.length(acc["open"]) + F.length(piece) <= max_chars
+        size = acc["size"] + F.length(piece)
         return F.when(
-            fits | (acc["open"] == ""),
-            F.struct(acc["done"].alias("done"), F.concat(acc["open"], piece).alias("open")),
-        ).otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), piece.alias("open")))
+            (size <= max_chars) | (acc["size"] == 0),
+            state(acc["done"], F.concat(acc["open"], piece), size),
+        ).otherwise(state(F.array_append(acc["done"], acc["open"]), piece, F.length(piece)))
 
     def close(acc: Column) -> Column:
         return F.array_append(acc["done"], acc["open"])
 
+    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(0))
     return (
         F.when(text.isNull() | (text == ""), F.array().cast("array<string>"))
         .when(F.length(text) <= max_chars, F.array(text))

@@ -25,7 +25,7 @@ DIVIDER = "\n\n---------\n\n"
 
 
 class SearchIndex(NamedTuple):
-    """``chunks`` (id, chunk_no, doc_date, chunk, tokens), token table, chunk vectors, bucket idf."""
+    """``chunks`` (id, chunk_no, doc_date, chunk, tokens, buckets), token table, vectors, bucket idf."""
 
     chunks: DataFrame
     tokens: DataFrame
@@ -39,8 +39,9 @@ def build_index(corpus: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, dim: int
     Rows without a date are left out, as no as-of search could return them.
     """
     dated = corpus.select("id", "doc_date", "text").dropna(subset=["doc_date"])
-    chunks = materialize(with_tokens(chunk(dated, "text", max_chars)), "chunks")
-    hashed = chunks.select("id", "chunk_no", "doc_date", token_buckets(F.col("tokens"), dim).alias("buckets"))
+    tokens = with_tokens(chunk(dated, "text", max_chars))
+    chunks = materialize(tokens.withColumn("buckets", token_buckets(F.col("tokens"), dim)), "chunks")
+    hashed = chunks.select("id", "chunk_no", "doc_date", "buckets")
     idf = bucket_idf(hashed, "buckets", dim)
     vectors = materialize(hashed_tfidf(hashed, "buckets", idf), "vectors")
     return SearchIndex(chunks, token_table(chunks), vectors, idf)

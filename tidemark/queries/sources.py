@@ -34,7 +34,7 @@ def json_array_files(rows: DataFrame, path: str, keys: tuple[str, ...] = ()) ->
             return pd.DataFrame({"value": [arrays["row"]]})
         return pd.DataFrame({"value": ["{" + ",".join(f'"{k}":{arrays[k]}' for k in keys) + "}"]})
 
-    files = map_batches(texts, pack, "value string", 1000)
+    files = map_batches(texts, pack, "value string", 5000)
     files.write.option("maxRecordsPerFile", 1).text(path)
 
 
