@@ -117,6 +117,15 @@ def missing_keys(ids: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return ids.select(key).dropna().distinct().join(store.select(key), key, "left_anti")
 
 
+def unseen(rows: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is not stored, for few rows against a large store.
+
+    The store is first cut to the keys at hand, so with a small batch it is scanned and not shuffled.
+    """
+    known = stored.select(*on).join(rows.select(*on).distinct(), on, "left_semi")
+    return rows.join(known, on, "left_anti")
+
+
 def of_this_pull(df: DataFrame, pulled: DataFrame, key: str) -> DataFrame:
     return df.join(pulled.select(key), key, "left_semi")
 

@@ -46,13 +46,16 @@ def materialize_missing(
     stored = read_store(spark, store, plan_hash)
     if stored is not None:
         stored = stored.filter(F.col("batch") != batch).drop("plan_hash", "batch")
-    todo = keys.distinct() if stored is None else keys.distinct().join(stored.select(*on), on, "left_anti")
+    todo = keys.distinct()
+    if stored is not None:
+        # Cut the store to the keys at hand first: a small request scans it and does not shuffle it.
+        stored = stored.join(keys.select(*on).distinct(), on, "left_semi")
+        todo = todo.join(stored.select(*on), on, "left_anti")
     fresh = materialize(compute(todo), "computed")
     fresh.filter("ok").drop("ok").write.mode("overwrite").parquet(
         f"{store}/plan_hash={plan_hash}/batch={batch}"
     )
     answer = fresh.drop("ok")
     if stored is not None:
-        wanted = keys.select(*on).distinct()
-        answer = answer.unionByName(stored.join(wanted, on, "left_semi"))
+        answer = answer.unionByName(stored)
     return StoreResult(answer, fresh)

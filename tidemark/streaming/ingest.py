@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
-from tidemark.operators.etl import distinct_rows
+from tidemark.operators.etl import distinct_rows, unseen
 from tidemark.sources.store import materialize_missing
 
 
@@ -34,7 +34,7 @@ def upsert_batch(batch: DataFrame, batch_id: int, store: str, key: str) -> None:
     fresh = distinct_rows(batch)
     stored = _earlier_batches(batch.sparkSession, store, batch_id)
     if stored is not None:
-        fresh = fresh.join(stored.select(key), key, "left_anti")
+        fresh = unseen(fresh, stored, [key])
     fresh.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
 
