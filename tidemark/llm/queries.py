@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, jaccard_join
+from tidemark.llm import byte_bpe, html_extract, jaccard_join
 from tidemark.llm.registry import query, table
 
 
@@ -25,3 +25,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op3_html_extract")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
