@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, html_extract, jaccard_join
+from tidemark.llm import byte_bpe, html_extract, jaccard_join, line_crf
 from tidemark.llm.registry import query, table
 
 
@@ -31,3 +31,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op5_line_crf")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    known = table(spark, sf_dir, "labels", "doc_id", "quality").where(line_crf.remainder("doc_id", 4) != 2)
+    model = line_crf.fit(docs, known.withColumnRenamed("quality", "label"))
+    return line_crf.score(docs, model).select(
+        "doc_id", (line_crf.remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
