@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, html_extract, jaccard_join, line_crf
+from tidemark.llm import byte_bpe, html_extract, jaccard_join, line_crf, line_dedup
 from tidemark.llm.registry import query, table
 
 
@@ -41,3 +41,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, model).select(
         "doc_id", (line_crf.remainder("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
