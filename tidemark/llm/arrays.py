@@ -134,7 +134,12 @@ def ragged(lists: list[np.ndarray], kind: pa.DataType | None = None) -> pa.ListA
 
 
 def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+    """Batches that have rows; gives memory of finished ones back, as workers share their executor's."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -145,3 +145,21 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
                      pa.array([bpe.decode(x or []) for x in lists], pa.binary())], ["doc_id", "token_ids", "decoded"])
 
     return tokens.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, decodes) of every row of ``docs``: ``decodes`` tells whether the decoded
+    bytes are those of the text (null: none)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path, pattern)
+        for batch in in_batches(batches):
+            for piece in pieces(batch, "text", 1 << 19):
+                texts = pc.fill_null(piece.column("text"), "").to_pylist()
+                ids = bpe.encode(texts)
+                same = [bpe.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
+                     pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "n_tokens", "token_ids", "decodes"])
+
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decodes boolean")

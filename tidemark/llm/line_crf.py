@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.arrays import in_batches, pieces, ragged, span_hashes, utf8, word_spans
 
@@ -231,12 +232,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS,
     return fit_arrays(lines, chars.flatten().to_numpy(), bounds, given)
 
 
-def score(docs: DataFrame, model: Crf) -> DataFrame:
-    """(doc_id, score, good_lines) of every row of ``docs`` (doc_id, text).
+def score_rows(docs: DataFrame, model: Crf) -> DataFrame:
+    """``docs`` with all its columns, and ``score`` and ``good_lines`` as in ``score``; own columns of these
+    names are replaced. Rows stay where they are."""
+    docs = docs.drop("score", "good_lines").withColumn("text", F.col("text").cast("string"))
 
-    ``score`` is 0 to 1, higher for better texts; ``good_lines`` holds the probability of each line. A null or
-    empty text is scored as one blank line. Ids are passed on as they are; other columns are not read.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_batches(batches):
             for piece in pieces(batch, "text"):
@@ -244,11 +244,22 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
                 good, _ = forward_backward(model.inputs(lines, bounds) @ model.weights, bounds, model.moves)
                 each = [good[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(model.document_scores(good, chars, bounds)),
-                     ragged(each, pa.float64())], ["doc_id", "score", "good_lines"])
+                    [*piece.columns, pa.array(model.document_scores(good, chars, bounds)), ragged(each, pa.float64())],
+                    [*piece.schema.names, "score", "good_lines"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()),
+                           T.StructField("good_lines", T.ArrayType(T.DoubleType()))])
+    return docs.mapInArrow(run, schema)
+
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, score double, good_lines array<double>")
+def score(docs: DataFrame, model: Crf) -> DataFrame:
+    """(doc_id, score, good_lines) of every row of ``docs`` (doc_id, text).
+
+    ``score`` is 0 to 1, higher for better texts; ``good_lines`` holds the probability of each line. A null or
+    empty text is scored as one blank line. Ids are passed on as they are; other columns are not read.
+    """
+    rows = score_rows(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return rows.select("doc_id", "score", "good_lines")
 
 
 def remainder(column: str, of: int):

@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, html_extract, jaccard_join, line_crf, line_dedup
+from tidemark.llm import byte_bpe, decontaminate, html_extract, jaccard_join, line_crf, line_dedup, sql
 from tidemark.llm.registry import query, table
 
 
-@query("op1_ngram_jaccard_join")
+@query("op1_ngram_jaccard_join", sql.OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -47,3 +47,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_decontaminate", sql.OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("row_key")
