@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, html_extract, jaccard_join, line_crf, line_dedup, sql
+from tidemark.llm import byte_bpe, decontaminate, fertility, html_extract, jaccard_join, line_crf, line_dedup, sql
 from tidemark.llm.registry import query, table
 
 
@@ -53,3 +53,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("row_key")
+
+
+@query("op2_token_fertility")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = (
+        fertility.Vocabulary("bytes", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+        fertility.Vocabulary("pieces", public_tokenizers.path("piece_bpe_32k.model")),
+    )
+    return fertility.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), vocabularies).drop(
+        "group", "length_class")
