@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, fertility, html_extract, jaccard_join, line_crf, line_dedup, sql
+from tidemark.llm import (
+    byte_bpe,
+    decontaminate,
+    fertility,
+    html_extract,
+    jaccard_join,
+    line_crf,
+    line_dedup,
+    sql,
+    warc,
+)
 from tidemark.llm.registry import query, table
 
 
@@ -63,3 +73,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return fertility.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), vocabularies).drop(
         "group", "length_class")
+
+
+@query("op8_warc_normalise", sql.OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

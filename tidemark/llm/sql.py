@@ -38,3 +38,19 @@ WITH docs AS (
 SELECT doc_id, item_id, n::BIGINT AS n_shingles, count(*)::BIGINT AS n_found
 FROM docs JOIN items USING (g) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
 """
+
+# Four groups of 40 bits of the digest, eight base-32 digits each.
+OP8 = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), digests AS (
+  SELECT page_id, payload_bytes, array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::UBIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)
+    for i in range(0, 32)], '') AS payload_digest FROM hashed
+), latest AS (SELECT payload_digest, max(page_id) AS latest FROM digests GROUP BY ALL)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = latest THEN NULL ELSE latest END AS refers_to
+FROM digests JOIN latest USING (payload_digest)
+"""
