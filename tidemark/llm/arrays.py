@@ -141,27 +141,3 @@ def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del batch
         pa.default_memory_pool().release_unused()
 
-
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal ``keys`` in batches that are sorted by them; holds one run at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in in_batches(batches):
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in columns)
-        cuts = np.flatnonzero(change)
-        if held and first != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        begin = 0
-        for cut in cuts:
-            held.append(batch.slice(begin, cut - begin))
-            yield pa.Table.from_batches(held)
-            held, begin = [], cut
-        held.append(batch.slice(begin))
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield pa.Table.from_batches(held)

@@ -14,6 +14,7 @@ from tidemark.llm import (
     jaccard_join,
     line_crf,
     line_dedup,
+    log_bilinear,
     sql,
     warc,
 )
@@ -79,3 +80,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_bytes=0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_log_bilinear")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = log_bilinear.score(table(spark, sf_dir, "documents", "doc_id", "text"), line_crf.remainder("doc_id", 10) != 0)
+    return scores.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import groups, in_batches, mix
-from tidemark.llm.components import connected_components
+from tidemark.llm.arrays import in_batches, mix
+from tidemark.llm.components import connected_components, roots
 from tidemark.session import materialize
 
 SHORT_LIST = 16
@@ -152,19 +152,41 @@ def linked(sets: list[np.ndarray], rows: np.ndarray, percent: int) -> tuple[np.n
 
 
 def _compare(percent: int, to_sets: Callable[[pa.Array], list[np.ndarray]]):
-    """Links inside each block; a block's rows with ``own`` = false are only compared with the others."""
+    """Links inside each block, as many as it takes to connect what is linked; a block's rows with ``own`` =
+    false, if there are any, are compared with all, the others are not compared with each other."""
+    def forest(held: list[tuple]) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        ids, own, sets = (list(x) for x in zip(*held, strict=True))
+        if len(held) == 2:
+            common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+            near = ids[0] != ids[1] and 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common)
+            return [(min(ids), max(ids))] if near else []
+        rows = np.arange(len(sets)) if all(own) else np.flatnonzero(~np.array(own))
+        left, right = linked(sets, rows, percent)
+        ids = np.array(ids, np.int64)
+        left, right = ids[left], ids[right]
+        if not len(left):
+            return []
+        ends, root = roots(left, right)
+        return [(r, e) for e, r in zip(ends.tolist(), root.tolist(), strict=True) if e != r]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["component", "block"]):
-            table = table.combine_chunks()
-            ids, own = table["doc_id"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
-            sets = to_sets(table["set"].combine_chunks())
-            rows = np.flatnonzero(~own) if not own.all() else np.arange(len(sets))
-            if len(sets) > 1:
-                left, right = linked(sets, rows, percent)
-                low, high = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
-                pairs = np.unique(np.stack([low, high], axis=1)[low < high], axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        block, held = None, []
+        for batch in in_batches(batches):
+            keys = zip(batch.column("component").to_pylist(), batch.column("block").to_pylist(), strict=True)
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("own").to_pylist(),
+                       to_sets(batch.column("set")), strict=True)
+            found = []
+            for key, row in zip(keys, rows, strict=True):
+                if key != block:
+                    found += forest(held)
+                    block, held = key, []
+                held.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+        if found := forest(held):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
     return run
 
 
