@@ -34,7 +34,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         _POWERS[base] = powers(base, max(n, 1 << 20))
     return _POWERS[base][:n]
 
