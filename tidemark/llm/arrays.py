@@ -50,7 +50,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column as one array and the ``rows + 1`` offsets into it; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    large = pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string()
+    column = pc.fill_null(column.cast(large), b"" if pa.types.is_binary(column.type) else "")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -16,6 +16,7 @@ from tidemark.llm import (
     line_dedup,
     log_bilinear,
     sql,
+    suffix_dedup,
     warc,
 )
 from tidemark.llm.registry import query, table
@@ -87,3 +88,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = log_bilinear.score(table(spark, sf_dir, "documents", "doc_id", "text"), line_crf.remainder("doc_id", 10) != 0)
     return scores.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rest.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
