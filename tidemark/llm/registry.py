@@ -21,7 +21,13 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Long texts make wide rows: hand fewer of them at a time to the tasks' Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
