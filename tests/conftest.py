@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,10 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from tidemark.session import build_session
 
-    session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g")
+    session = build_session(
+        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="tidemark-tests-"),
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

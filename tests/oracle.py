@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -65,7 +66,8 @@ def main() -> int:
 
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
+    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g",
+                          spark__checkpoint__dir=tempfile.mkdtemp(prefix="tidemark-oracle-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracles, failures = entry.oracle_sql(), 0

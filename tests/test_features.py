@@ -142,3 +142,23 @@ def test_good_grouping(spark, plan):
     features = spark.createDataFrame([("f",), ("g",)], "feature string")
     assert plans.check_groups(groups, features).first()["sound"] is True
     assert plans.check_groups(groups.limit(0), features).first()["sound"] is False
+
+
+def test_apply_groups_survives_any_output(spark):
+    from tidemark.operators.features import apply_groups
+    from tidemark.plans.feature_plan import SubFeature
+
+    plan = [SubFeature(0, "f", "s", "integer", ())]
+    answers = {0: {"f": {"s": 5}}, 1: {"f": {"s": [1, "b"]}}, 2: {"f": {"s": None}}, 3: {"f": None}, 4: None,
+               5: {"f": {"s": {1, 2}.__class__}}, 6: {"f": {"s": True}}}
+
+    def fn(record, group):
+        if record["id"] == 7:
+            raise ValueError("no answer")
+        return answers[record["id"]], {}
+
+    pairs = spark.createDataFrame([(i, 0) for i in range(8)], "id long, group_no int")
+    rows = {r["id"]: (r["raw"], r["ok"]) for r in apply_groups(pairs, plan, fn).collect()}
+    assert rows[0] == ("5", True) and rows[1] == ('[1, "b"]', True) and rows[2] == ("None", True)
+    assert rows[3] == rows[4] == rows[7] == (None, False)
+    assert rows[6] == ("True", True) and rows[5][1] is True

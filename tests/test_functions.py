@@ -94,3 +94,23 @@ def test_json_keeps_nulls_and_hash_ignores_order(spark):
     assert one(spark, tf.encode_json(F.struct(F.lit(None).cast("string").alias("a")))) == '{"a":null}'
     a, b = F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y"), F.lit("x"))
     assert one(spark, tf.content_hash(a)) == one(spark, tf.content_hash(b))
+
+
+def test_long_texts_do_not_overflow_the_stack(spark):
+    from tidemark.operators import features
+
+    long = "x" * 100_000
+    items = "[" + ", ".join(["None", "'a\\'b'", '"c"'] + [f"'{i}'" for i in range(50_000)]) + "]"
+    assert len(one(spark, tf.parse_list_literal(F.col("t")), t=items)) == 50_003
+    assert one(spark, tf.parse_list_literal(F.col("t")), t=f"['{long}', None]") == [long, None]
+    skeleton = features._skeleton(F.col("t"))
+    assert one(spark, skeleton, t=f'["{long}", "{long}"]') == '["", ""]'
+    many = "[" + ",".join(['"a"'] * 50_000) + "]"
+    assert one(spark, skeleton.rlike(features.LIST_OF_STRINGS), t=many) is True
+
+
+def test_number_patterns_do_not_end_before_a_newline(spark):
+    from tidemark.functions.text import to_digits
+
+    assert one(spark, to_digits(F.col("t")), t="5\n") is None
+    assert one(spark, to_digits(F.col("t")), t="5") == 5.0

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fixed value: a quoted item (single or double, with escapes) or a run without quotes.
-LITERAL_TOKENS = r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|[^'"]+|['"]"""
+# Fixed value: a quoted item (single or double, with escapes) or a run without quotes. Possessive and unrolled:
+# an alternation in a loop recurses once per character, which a long text turns into a stack overflow.
+LITERAL_TOKENS = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++|['"]"""
 
 PYTHON_CONSTANTS = r"\b(?:None|nan|True|False)\b"
 

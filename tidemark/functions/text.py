@@ -6,9 +6,9 @@ from pyspark.sql import Column, functions as F
 
 # The text patterns of the coercion and token rules.
 TOKEN_PATTERN = r"\p{L}+"
-DIGITS_PATTERN = r"^[0-9]+$"
-FLOAT_PATTERN = r"^-?[0-9]+\.[0-9]+$"
-LENIENT_FLOAT_PATTERN = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+DIGITS_PATTERN = r"^[0-9]+\z"
+FLOAT_PATTERN = r"^-?[0-9]+\.[0-9]+\z"
+LENIENT_FLOAT_PATTERN = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\z"
 
 REPLY_SCHEMA = (
     "university array<string>, institutes array<string>, companies array<string>, "

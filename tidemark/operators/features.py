@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,8 +14,9 @@ from tidemark.functions.text import strip_quotes, to_boolean, to_digits, to_floa
 from tidemark.plans.feature_plan import SubFeature, bounded_plan
 
 # Patterns of the multi-categorical rule, applied after every string became "".
-JSON_STRING = r'"(?:\\.|[^"\\])*"'
-LIST_OF_STRINGS = r'^\s*\[\s*(?:""\s*(?:,\s*""\s*)*)?\]\s*$'
+# Possessive and unrolled, so that long texts do not overflow the stack.
+JSON_STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+LIST_OF_STRINGS = r'^\s*+\[\s*+(?:""\s*+(?:,\s*+""\s*+)*+)?\]\s*+\z'
 LIST_WITH_NESTING = r'(?s)^\s*\[.*[\[{]'
 
 VALUE_KEY = ["id", "group_no", "feature", "sub"]
@@ -237,10 +239,6 @@ def multi_hot(items: Column, vocabulary: list[str]) -> list[Column]:
     return [count(v) for v in vocabulary]
 
 
-def items_from_json(text: Column) -> Column:
-    return F.from_json(text, "array<string>")
-
-
 def impute(value: Column, model: str, fill: float = 0.0) -> list[Column]:
     """Zero for gaps; for boosted trees also a gap indicator, as Spark trees have no missing branch."""
     filled = F.coalesce(value, F.lit(fill))
@@ -298,9 +296,16 @@ def apply_groups(
 ) -> DataFrame:
     """Run ``fn(record, group_no) -> ({feature: {sub: raw}}, {feature: reason})`` for every pair.
 
-    Result: id, group_no, feature, sub, raw, reason, ok. If ``fn`` raises, every sub-feature of that
-    group is null with ``ok`` false, and the job goes on. Rows stream through in Arrow batches.
+    Result: id, group_no, feature, sub, raw, reason, ok. Lists become JSON text and other values that are not
+    strings become their text, ``None`` among them. If ``fn`` raises or returns anything that cannot be laid
+    out this way, every sub-feature of that group is null with ``ok`` false, and the job goes on. Rows stream
+    through in Arrow batches.
     """
+    def as_text(value: object) -> str:
+        if isinstance(value, str):
+            return value
+        return json.dumps(value) if isinstance(value, list) else str(value)
+
     by_group: dict[int, list[SubFeature]] = {}
     for s in plan:
         by_group.setdefault(s.group_no, []).append(s)
@@ -309,17 +314,17 @@ def apply_groups(
 
     def one(record: dict) -> Iterator[tuple]:
         key, group = record["id"], int(record["group_no"])
+        rows = []
         try:
             values, reasons = fn(record, group)
+            for feature, subs in values.items():
+                reason = None if reasons.get(feature) is None else as_text(reasons[feature])
+                rows += [(key, group, feature, sub, as_text(raw), reason, True) for sub, raw in subs.items()]
+                if not subs:
+                    rows.append((key, group, feature, None, None, reason, True))
         except Exception:
-            for s in by_group[group]:
-                yield key, group, s.feature, s.sub, None, None, False
-            return
-        for feature, subs in values.items():
-            for sub, raw in subs.items():
-                yield key, group, feature, sub, raw, reasons.get(feature), True
-            if not subs:
-                yield key, group, feature, None, None, reasons.get(feature), True
+            rows = [(key, group, s.feature, s.sub, None, None, False) for s in by_group[group]]
+        yield from rows
 
     names = ["id", "group_no", "feature", "sub", "raw", "reason", "ok"]
 

@@ -115,18 +115,20 @@ def render_hits(hits: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def query_hash(text: Column, as_of: Column) -> Column:
-    return F.sha2(F.concat_ws("|", text, F.coalesce(as_of.cast("string"), F.lit(""))), 256)
+def query_hash(text: Column, as_of: Column, settings: str = "") -> Column:
+    return F.sha2(F.concat_ws("|", text, F.coalesce(as_of.cast("string"), F.lit("")), F.lit(settings)), 256)
 
 
 def search_cached(
-    queries: DataFrame, store: str, index_name: str, search, batch: str | None = None
+    queries: DataFrame, store: str, index_name: str, search, batch: str | None = None, settings: str = ""
 ) -> DataFrame:
-    """Same query and date, same answer: each distinct (text, as_of) is searched once and kept.
+    """Same query, date and settings, same answer: each distinct (text, as_of) is searched once and kept.
 
-    ``search`` takes (query_id, text, as_of) rows. Results are stored under the index name.
+    ``search`` takes (query_id, text, as_of) rows. ``settings`` names what else its answers depend on, such
+    as the number of hits and the weight; it is part of the stored key. Results are stored under the index
+    name.
     """
-    hashed = queries.withColumn("query_hash", query_hash(F.col("text"), F.col("as_of")))
+    hashed = queries.withColumn("query_hash", query_hash(F.col("text"), F.col("as_of"), settings))
 
     def compute(todo: DataFrame) -> DataFrame:
         found = search(todo.withColumnRenamed("query_hash", "query_id"))

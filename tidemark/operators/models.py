@@ -17,6 +17,9 @@ from tidemark.session import materialize
 # Fixed value: the forest seed.
 SEED = 42
 
+# Spark's own limit; override with ``maxDepth``.
+FOREST_DEPTH = 30
+
 
 class Fitted(NamedTuple):
     kind: str
@@ -39,7 +42,7 @@ def _classifier(kind: str, n: int):
         # 1/n is the penalty that corresponds to an inverse strength of 1 over summed losses.
         return LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=100)
     if kind == "rf":
-        return RandomForestClassifier(numTrees=100, maxDepth=15, featureSubsetStrategy="sqrt", seed=SEED)
+        return RandomForestClassifier(numTrees=100, maxDepth=FOREST_DEPTH, featureSubsetStrategy="sqrt", seed=SEED)
     if kind == "xgb":
         return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED)
     raise ValueError(f"unknown model kind {kind!r}, expected one of {MODEL_KINDS}")

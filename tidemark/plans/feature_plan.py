@@ -16,7 +16,6 @@ from tidemark.functions.text import encode_json
 # The declared domains of a plan.
 FEATURE_TYPES = ["boolean", "integer", "float", "categorical", "multi-categorical"]
 VALUED_TYPES = ["categorical", "multi-categorical"]
-FEATURE_SOURCES = ["pubmed", "related_clinical_trials", "current_trial_summary"]
 OPERATIONS = ["add", "remove", "refine"]
 PLAN_ONLY_COLUMNS = ["sources", "example_values", "possible_values"]
 

@@ -261,8 +261,12 @@ def r9(spark, d):
     def search(todo: DataFrame) -> DataFrame:
         return keyword.search_keyword(todo, index, 10)
 
-    hybrid.search_cached(asked.filter("query_id % 2 = 0"), store, "docs-v1", search)
-    return hybrid.search_cached(repeated, store, "docs-v1", search)
+    def search_few(todo: DataFrame) -> DataFrame:
+        return keyword.search_keyword(todo, index, 3)
+
+    hybrid.search_cached(asked, store, "docs-v1", search_few, settings="k=3")
+    hybrid.search_cached(asked.filter("query_id % 2 = 0"), store, "docs-v1", search, settings="k=10")
+    return hybrid.search_cached(repeated, store, "docs-v1", search, settings="k=10")
 
 
 @query("j7_as_of_top_k", f"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,21 +33,12 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-@functools.cache
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder named in ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting: there one machine is the whole cluster.
-    """
+    """A new, unused path below the shared folder named in ``spark.checkpoint.dir``, which must be set: a
+    folder of one machine would be out of the other executors' reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = _local_base()
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{base.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
 
 

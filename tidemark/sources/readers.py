@@ -45,12 +45,23 @@ def map_batches(
     schema: str,
     batch_rows: int = 10_000,
 ) -> DataFrame:
-    """Apply ``fn`` to Arrow batches of at most ``batch_rows`` rows, never to a whole partition."""
+    """Apply ``fn`` to batches of ``batch_rows`` rows (the last of a partition may be shorter), however many
+    rows Spark hands over at a time. A task holds one batch, never a whole partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
         for pdf in batches:
-            for start in range(0, len(pdf), batch_rows):
-                yield fn(pdf.iloc[start:start + batch_rows])
+            start = 0
+            while start < len(pdf):
+                part = pdf.iloc[start:start + batch_rows - rows]
+                held.append(part)
+                start, rows = start + len(part), rows + len(part)
+                if rows == batch_rows:
+                    yield fn(pd.concat(held, ignore_index=True))
+                    held, rows = [], 0
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
 
     return df.mapInPandas(run, schema)
 

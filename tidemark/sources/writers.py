@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def write_table(
@@ -26,9 +28,10 @@ def write_leaderboard(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Header CSV; arrays, structs and vectors go in as JSON text, which CSV cannot hold otherwise."""
-    flat = [
-        F.to_json(f.name).alias(f.name)
-        if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f.name)
-        for f in df.schema.fields
-    ]
-    df.select(*flat).write.mode(mode).option("header", True).csv(path)
+    def plain(field: T.StructField) -> Column:
+        if isinstance(field.dataType, VectorUDT):
+            return F.to_json(vector_to_array(field.name)).alias(field.name)
+        nested = isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType))
+        return F.to_json(field.name).alias(field.name) if nested else F.col(field.name)
+
+    df.select(*map(plain, df.schema.fields)).write.mode(mode).option("header", True).csv(path)
