@@ -135,7 +135,7 @@ def test_dense_search(spark, vectors, monkeypatch, block_rows):
     expected = brute_cosine(vectors[1], vectors[2], rows, 10)
     assert ids_by_query(dense.search_dense(queries, vectors[0], 10)) == expected
     index = dense.build_cells(vectors[0], cells=5)
-    assert ids_by_query(dense.search_ann(queries, index, 10, nprobe=5)) == expected
+    assert ids_by_query(dense.search_ann(queries, index, 10, nprobe=5).drop("compared")) == expected
     few = ids_by_query(dense.search_ann(queries, index, 10, nprobe=2))
     recall = [len(set(few[q]) & set(expected[q])) / len(expected[q]) for q in expected]
     assert sum(recall) / len(recall) > 0.3
@@ -149,6 +149,8 @@ def test_as_of_holds_and_repeats_agree(spark, corpus, queries):
     assert first and all(bounds[r["query_id"]] is None or dated[r["id"]] < bounds[r["query_id"]] for r in first)
     again = hybrid.search_hybrid(queries[0], index, 5).collect()
     assert sorted(first) == sorted(again)
+    many = hybrid.search_hybrid(queries[0], index, 20).collect()
+    assert sorted(r for r in many if r["rank"] <= 5) == sorted(first)
 
 
 def test_cached_search_runs_once_per_question(spark, corpus, queries):

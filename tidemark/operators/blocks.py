@@ -31,14 +31,15 @@ class _Best:
 
 
 def local_top_k(
-    score: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], query_ids: list, as_of_days: np.ndarray, k: int
+    score: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], query_ids: list, as_of_days: np.ndarray, k: int,
+    step: int | None = None,
 ):
     """Batch function for ``mapInPandas`` over rows with ``id, chunk_no, day`` and what ``score`` reads.
 
     ``score`` returns a queries x rows matrix and a mask of the pairs that count. Rows dated on or after
     a query's bound are dropped here, before ranking; infinite bounds let rows without a date in.
     """
-    step = max(1, SCORE_CELLS // max(1, len(query_ids)))
+    step = step or max(1, SCORE_CELLS // max(1, len(query_ids)))
     open_ended = np.isinf(as_of_days)[:, None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.lists import first_items
 from tidemark.functions.text import encode_json, tokenize
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
-from tidemark.operators.dense import DEFAULT_DIM, bucket_idf, hashed_tfidf, search_dense, token_buckets
+from tidemark.operators.dense import (
+    DEFAULT_DIM, QUERY_BLOCK_ROWS, bucket_idf, hashed_tfidf, token_buckets, unit_tfidf,
+)
 from tidemark.operators.etl import recode_outcome
-from tidemark.operators.blocks import SCORE_DECIMALS
-from tidemark.operators.keyword import search_keyword, token_table, with_tokens
+from tidemark.operators.blocks import SCORE_CELLS, SCORE_DECIMALS, local_top_k
+from tidemark.operators.keyword import (
+    MAX_BLOCK_TERMS, bm25_scorer, query_terms, terms_with_frequency, token_table, with_tokens,
+)
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
 from tidemark.sources.store import materialize_missing
 
-# Hits per search, candidates per side, and the line between rendered hits.
+# Hits per search, and the line between rendered hits.
 HITS = 10
-CANDIDATE_FACTOR = 10
 DIVIDER = "\n\n---------\n\n"
 
 
@@ -53,29 +58,95 @@ def encode_queries(queries: DataFrame, index: SearchIndex) -> DataFrame:
     return hashed_tfidf(hashed, "buckets", index.idf).withColumnRenamed("vec", "qvec")
 
 
-def _min_max(score: str) -> Column:
-    """Score scaled to 0..1 over the query's candidates; a constant list scales to 1."""
-    over = Window.partitionBy("query_id")
-    low, high = F.min(score).over(over), F.max(score).over(over)
-    return F.when(high == low, F.lit(1.0)).otherwise((F.col(score) - low) / (high - low))
+def _scaled(scores: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows scaled to 0..1 between their bounds; a constant row scales to 1."""
+    wide = high > low
+    span = np.where(wide, high - low, 1.0)[:, None]
+    return np.where(wide[:, None], (scores - np.where(wide, low, 0.0)[:, None]) / span, 1.0)
 
 
-def combine(dense: DataFrame, keyword: DataFrame, k: int = HITS, weight: float = 0.5) -> DataFrame:
-    """Weighted sum of min-max scaled scores; a hit on one side only counts 0 on the other."""
-    key = ["query_id", "id", "chunk_no"]
-    left = dense.select(*key, _min_max("score").alias("dense"))
-    right = keyword.select(*key, _min_max("score").alias("keyword"))
-    both = left.join(right, key, "full").na.fill(0.0, ["dense", "keyword"])
-    score = F.round(weight * F.col("dense") + (1 - weight) * F.col("keyword"), SCORE_DECIMALS)
-    scored = both.select(*key, score.alias("score"))
-    return top_k_per_key(scored, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)
+def _both_sides(vectors: pd.DataFrame, terms: pd.DataFrame, idf: np.ndarray, n: int, mean_len: float):
+    """Function from chunk rows to the rounded dense and keyword scores (queries x rows) and the mask of keyword
+    hits, with the query ids and bounds, for one block of queries."""
+    queries = np.stack([np.asarray(v, dtype=np.float64) for v in vectors["qvec"]])
+    ids = vectors["query_id"].tolist()
+    bounds = vectors["as_of_day"].astype("float64").fillna(np.inf).to_numpy()
+    place = {q: i for i, q in enumerate(ids)}
+    keyword, named, _ = bm25_scorer(terms, n, mean_len) if len(terms) else (None, [], None)
+    rows = np.array([place[q] for q in named], dtype=np.int64)
+
+    def score(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dense = np.round(queries @ unit_tfidf(part["buckets"].tolist(), idf).T, SCORE_DECIMALS)
+        scores, hit = np.zeros_like(dense), np.zeros(dense.shape, dtype=bool)
+        if keyword is not None:
+            found, mask = keyword(part)
+            scores[rows], hit[rows] = np.round(found, SCORE_DECIMALS), mask
+        return dense, scores, hit
+
+    return score, ids, bounds
+
+
+def _score_bounds(score, ids: list, bounds: np.ndarray):
+    """Batch function: the least and greatest score of each side over what each query may see in this task."""
+    step = max(1, SCORE_CELLS // max(1, len(ids)))
+    names = ["dense_low", "dense_high", "keyword_low", "keyword_high"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.tile([np.inf, -np.inf, np.inf, -np.inf], (len(ids), 1))
+        for pdf in batches:
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start:start + step]
+                dense, keyword, hit = score(part)
+                open_ = (part["day"].to_numpy(dtype=np.float64) < bounds[:, None]) | np.isinf(bounds)[:, None]
+                for at, scores, mask in ((0, dense, open_), (2, keyword, open_ & hit)):
+                    seen[:, at] = np.minimum(seen[:, at], np.where(mask, scores, np.inf).min(axis=1, initial=np.inf))
+                    seen[:, at + 1] = np.maximum(
+                        seen[:, at + 1], np.where(mask, scores, -np.inf).max(axis=1, initial=-np.inf))
+        yield pd.DataFrame(seen, columns=names).assign(query_no=np.arange(len(ids)))[["query_no", *names]]
+
+    return run
 
 
 def search_hybrid(queries: DataFrame, index: SearchIndex, k: int = HITS, weight: float = 0.5) -> DataFrame:
-    """``queries`` (query_id, text, as_of) to the ``k`` best chunks each, dated before ``as_of``."""
-    wide = k * CANDIDATE_FACTOR
-    dense = search_dense(encode_queries(queries, index), index.vectors, wide)
-    return combine(dense, search_keyword(queries, index.tokens, wide), k, weight)
+    """``queries`` (query_id, text, as_of) to the ``k`` best chunks each, dated before ``as_of``.
+
+    The score is the weighted sum of both sides' scores, each min-max scaled over all chunks that the query
+    may see; a chunk without any query term counts 0 on the keyword side. Nothing is cut before ranking, so
+    the first hits do not depend on ``k``. Both sides are scored in the same task: one pass over the
+    chunks for the bounds and one for the hits, per block of queries. Runs jobs when called.
+    """
+    encoded = materialize(encode_queries(queries, index).select(
+        "query_id", F.unix_date("as_of").alias("as_of_day"), "qvec"), "queries")
+    terms = materialize(query_terms(queries), "query-terms")
+    blocks = max(1, -(-encoded.count() // QUERY_BLOCK_ROWS), -(-terms.count() // MAX_BLOCK_TERMS))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    n, mean_len = index.tokens.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+    rows = index.chunks.select(
+        "id", "chunk_no", F.unix_date("doc_date").alias("day"), F.size("tokens").alias("doc_len"), "tokens", "buckets")
+    fields = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *index.chunks.schema.fields]}
+    schema = f"query_id {fields['query_id']}, id {fields['id']}, chunk_no {fields['chunk_no']}, score double"
+    names = ["dense_low", "dense_high", "keyword_low", "keyword_high"]
+
+    found = queries.sparkSession.createDataFrame([], schema)
+    for b in range(blocks):
+        vectors = encoded.filter(place == b).toPandas()
+        if not len(vectors) or not n:
+            continue
+        used = terms_with_frequency(terms.filter(place == b), index.tokens).toPandas()
+        score, ids, bounds = _both_sides(vectors, used, index.idf, n, mean_len)
+        parts = rows.mapInPandas(
+            _score_bounds(score, ids, bounds), "query_no long, " + ", ".join(f"{c} double" for c in names))
+        least = parts.groupBy("query_no").agg(*[(F.min if c.endswith("low") else F.max)(c).alias(c) for c in names])
+        edges = least.toPandas().set_index("query_no").reindex(range(len(ids)))[names].to_numpy().T
+
+        def combined(part: pd.DataFrame, score=score, edges=edges) -> tuple[np.ndarray, np.ndarray]:
+            dense, keyword, hit = score(part)
+            total = weight * _scaled(dense, edges[0], edges[1])
+            total = total + (1 - weight) * np.where(hit, _scaled(keyword, edges[2], edges[3]), 0.0)
+            return total, np.ones_like(total, dtype=bool)
+
+        found = found.unionByName(rows.mapInPandas(local_top_k(combined, ids, bounds, k), schema))
+    return top_k_per_key(found, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)
 
 
 def attach_parent(hits: DataFrame, parent: DataFrame) -> DataFrame:

@@ -97,19 +97,31 @@ def search_keyword(queries: DataFrame, tokens: DataFrame, k: int = 10) -> DataFr
 
     parts = []
     for terms in _term_blocks(queries):
-        vocabulary = F.broadcast(terms.select("term").distinct())
-        seen = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(vocabulary, "term", "left_semi")
-        frequency = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        block = terms.join(F.broadcast(frequency), "term").select(
-            "query_id", F.unix_date("as_of").alias("as_of_day"), "term", "df"
-        ).toPandas()
+        block = terms_with_frequency(terms, tokens).toPandas()
         if len(block):
             parts.append(rows.mapInPandas(_bm25_top_k(block, n, mean_len, k), schema))
     return _best(parts or [queries.sparkSession.createDataFrame([], schema)], k)
 
 
+def terms_with_frequency(terms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(query_id, as_of_day, term, df) of the terms of one block of queries that occur in the corpus."""
+    vocabulary = terms.select("term").distinct()
+    seen = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(vocabulary, "term", "left_semi")
+    frequency = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return terms.join(frequency, "term").select("query_id", F.unix_date("as_of").alias("as_of_day"), "term", "df")
+
+
 def _bm25_top_k(block: pd.DataFrame, n: int, mean_len: float, k: int):
     """Batch function: BM25 of one block of query terms against token rows."""
+    score, query_ids, bounds = bm25_scorer(block, n, mean_len)
+    return local_top_k(score, query_ids, bounds, k)
+
+
+def bm25_scorer(block: pd.DataFrame, n: int, mean_len: float):
+    """Function from token rows to a queries x rows matrix and a mask, the query ids and their bounds.
+
+    ``block``: query_id, as_of_day, term and df of the terms that occur at all.
+    """
     block = block.sort_values("term", kind="stable")
     vocabulary = pd.Index(block["term"].unique())
     term_no = vocabulary.get_indexer(block["term"])
@@ -139,7 +151,7 @@ def _bm25_top_k(block: pd.DataFrame, n: int, mean_len: float, k: int):
         scores = scores.reshape(n_queries, len(part))
         return scores, scores > 0
 
-    return local_top_k(score, query_ids.tolist(), bounds, k)
+    return score, query_ids.tolist(), bounds
 
 
 def bm25_idf(n: Column, df: Column) -> Column:

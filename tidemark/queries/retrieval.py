@@ -12,7 +12,7 @@ from tidemark.queries.registry import DOC_DATE_SQL, QUERY_DATE_SQL, doc_date, qu
 from tidemark.session import materialize, scratch_path
 from tidemark.sources.readers import spread
 
-DIM = 64
+DIM = dense.DEFAULT_DIM
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -87,16 +87,13 @@ query_unit AS (SELECT query_id, as_of, bucket, w / sqrt(sum(w * w) OVER (PARTITI
 dense_scores AS (SELECT query_id, id, chunk_no, round(sum(dot), 6) AS score FROM (
     SELECT query_id, id, chunk_no, a.w * b.w AS dot FROM query_unit a JOIN chunk_unit b USING (bucket) WHERE doc_date < as_of
     UNION ALL
-    SELECT x.query_id, y.id, y.chunk_no, 0.0 FROM (SELECT DISTINCT query_id, as_of FROM query_unit) x,
-      (SELECT DISTINCT id, chunk_no, doc_date FROM chunk_unit) y WHERE y.doc_date < x.as_of) GROUP BY ALL)"""
+    SELECT x.query_id, y.id, y.chunk_no, 0.0 FROM q x, chunks y WHERE y.doc_date < x.as_of) GROUP BY ALL)"""
 
 HYBRID_SQL = f"""
-dense_top AS {top_sql("dense_scores", 100)},
-keyword_top AS {top_sql("keyword_scores", 100)},
 dense_scaled AS (SELECT query_id, id, chunk_no, CASE WHEN max(score) OVER p = min(score) OVER p THEN 1.0
-    ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) END AS s FROM dense_top WINDOW p AS (PARTITION BY query_id)),
+    ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) END AS s FROM dense_scores WINDOW p AS (PARTITION BY query_id)),
 keyword_scaled AS (SELECT query_id, id, chunk_no, CASE WHEN max(score) OVER p = min(score) OVER p THEN 1.0
-    ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) END AS s FROM keyword_top WINDOW p AS (PARTITION BY query_id)),
+    ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) END AS s FROM keyword_scores WINDOW p AS (PARTITION BY query_id)),
 hybrid_scores AS (SELECT query_id, id, chunk_no, round(0.5 * coalesce(a.s, 0) + 0.5 * coalesce(b.s, 0), 6) AS score
   FROM dense_scaled a FULL JOIN keyword_scaled b USING (query_id, id, chunk_no)),
 hits AS {top_sql("hybrid_scores", 10)}"""
@@ -123,7 +120,8 @@ def r1_small(spark, d):
     SELECT id, chunk_no, bucket, round(w, 6) AS weight FROM chunk_unit""")
 def r2(spark, d):
     chunks = keyword.with_tokens(chunk(corpus(spark, d), "text"))
-    hashed = chunks.select("id", "chunk_no", dense.token_buckets(F.col("tokens"), DIM).alias("buckets"))
+    hashed = materialize(
+        chunks.select("id", "chunk_no", dense.token_buckets(F.col("tokens"), DIM).alias("buckets")), "buckets")
     vectors = dense.hashed_tfidf(hashed, "buckets", dense.bucket_idf(hashed, "buckets", DIM))
     cells = vectors.select("id", "chunk_no", F.posexplode("vec").alias("bucket", "w")).filter("w <> 0")
     return cells.select("id", "chunk_no", F.col("bucket").cast("bigint").alias("bucket"), F.round("w", 6).alias("weight"))
@@ -173,16 +171,24 @@ def r3(spark, d):
     return dense.search_dense(label_means(spark, d), vector_table(spark, d), 10)
 
 
-@query("r4_search_ann")
+@query("r4_search_ann", f"""
+    SELECT query_id, true AS fewer_compared, true AS recalls_half FROM ({VECTOR_SQL}) GROUP BY query_id""")
 def r4(spark, d):
-    index = dense.build_cells(vector_table(spark, d), cells=16)
-    return dense.search_ann(label_means(spark, d), index, 10, nprobe=4)
+    """Fewer comparisons than the exact search makes, and at least half of its hits."""
+    vectors, asked = vector_table(spark, d), label_means(spark, d)
+    found = dense.search_ann(asked, dense.build_cells(vectors, cells=16), 10, nprobe=8)
+    exact = dense.search_dense(asked, vectors, 10)
+    hits = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    recall = hits.groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    return found.select("query_id", "compared").distinct().join(recall, "query_id").select(
+        "query_id", (F.col("compared") < vectors.filter("doc_date < '2007-01-01'").count()).alias("fewer_compared"),
+        (F.col("recall") >= 0.5).alias("recalls_half"))
 
 
 @query("r4_search_ann_all_cells", VECTOR_SQL)
 def r4_all(spark, d):
     index = dense.build_cells(vector_table(spark, d), cells=8)
-    return dense.search_ann(label_means(spark, d), index, 10, nprobe=8)
+    return dense.search_ann(label_means(spark, d), index, 10, nprobe=8).drop("compared")
 
 
 def token_rows(spark: SparkSession, d: str) -> DataFrame:
