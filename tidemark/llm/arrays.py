@@ -93,10 +93,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """Hash of each byte span; with ``lower``, A-Z count as a-z."""
-    values = (BYTE_VALUES_LOWER if lower else BYTE_VALUES)[data] * _powers(BASE, len(data))
+    return hashes_between(byte_sums(data, lower), starts, ends)
+
+
+def byte_sums(data: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Running sums from which the hash of any span can be taken."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values, out=sums[1:])
-    inverse = _powers(BASE_INVERSE, len(data) + 1)
+    np.cumsum((BYTE_VALUES_LOWER if lower else BYTE_VALUES)[data] * _powers(BASE, len(data)), out=sums[1:])
+    return sums
+
+
+def hashes_between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    inverse = _powers(BASE_INVERSE, len(sums))
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 

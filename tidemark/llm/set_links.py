@@ -16,11 +16,25 @@ from tidemark.session import materialize
 
 SHORT_LIST = 16
 LONG_LIST = 200_000
+CHUNK_ROWS = 1 << 16
 BLOCK_SETS = 1024
 ANCHORS = 16
 FILTER_BITS = 1 << 22
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows (key, n, doc_id) of several batches at a time."""
+    held, rows = [], 0
+    for batch in in_batches(batches):
+        held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "doc_id")]))
+        rows += batch.num_rows
+        if rows >= CHUNK_ROWS:
+            yield np.concatenate(held, axis=1)
+            held, rows = [], 0
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
 def scan_lists(percent: int, boundary: int = 0, enough: int = 1):
     """Pairs in each list, which is sorted by size, with the number of keys that they were found by.
 
@@ -53,11 +67,9 @@ def scan_lists(percent: int, boundary: int = 0, enough: int = 1):
             [pairs[0, begin], pairs[1, begin], np.add.reduceat(pairs[2], begin)], ["a", "b", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = np.zeros((3, 0), np.int64), 0
-        out: list[np.ndarray] = []
-        for batch in in_batches(batches):
-            held = np.concatenate([held, np.stack(
-                [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "doc_id")])], axis=1)
+        held, out, waiting = np.zeros((3, 0), np.int64), [], 0
+        for rows in _chunks(batches):
+            held = np.concatenate([held, rows], axis=1)
             whole = int(np.searchsorted(held[0], held[0, -1]))  # the last list may go on
             if whole:
                 out.append(pairs_of(held[:, :whole]))
@@ -65,7 +77,9 @@ def scan_lists(percent: int, boundary: int = 0, enough: int = 1):
             elif held.shape[1] > 2 * LONG_LIST:  # one list of any length: its neighbours, piece by piece
                 out.append(pairs_of(held))
                 held = held[:, -SHORT_LIST - 1:]
-            waiting += out[-1].shape[1] if out else 0
+            else:
+                continue
+            waiting += out[-1].shape[1]
             if waiting > LONG_LIST:
                 yield emit(out)
                 out, waiting = [], 0
