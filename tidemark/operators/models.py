@@ -82,10 +82,10 @@ def run_experiment(
 ) -> Experiment:
     """Train every kind on the train split, score val and test, keep the best by validation AUC.
 
-    ``wide`` has id, label, split and the planned columns. All scores go to one table, and all
-    metrics come from one pass over it.
+    ``wide`` has id, label, split and the planned columns; it is computed once and stored. All scores go to
+    one table, and all metrics come from one pass over it.
     """
-    spark = wide.sparkSession
+    wide = materialize(wide, "wide")
     train = wide.filter("split = 'train'")
     held_out = wide.filter("split in ('val', 'test') and label is not null")
     models = {kind: fit(kind, train, plan, **(params or {}).get(kind, {})) for kind in kinds}

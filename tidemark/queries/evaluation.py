@@ -8,7 +8,7 @@ from tidemark.operators import metrics, models, topk
 from tidemark.plans import feature_plan as plans
 from tidemark.queries import features
 from tidemark.queries.registry import query, table
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 
 
 def label_predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -158,19 +158,39 @@ def scored(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return models.score(fitted, rows, keep=["id", "split"])
 
 
-@query("f11_fit_logistic")
+MODEL_SQL = """
+    SELECT doc_id AS id, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split,
+      TRUE AS in_range, TRUE AS consistent, TRUE AS beats_chance FROM documents"""
+
+
+def checked(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per record: whether the probability is one, the class agrees with it, and training AUC is over a half."""
+    known = rows.filter("split = 'train'").join(labels, "id").filter("label is not null")
+    auc = metrics.evaluate(known).first()["roc_auc"]
+    agrees = (F.col("prob") == 0.5) | ((F.col("prob") > 0.5).cast("int") == F.col("prediction"))
+    return rows.select(
+        "id", "split", F.col("prob").between(0, 1).alias("in_range"), agrees.alias("consistent"),
+        F.lit(auc > 0.5).alias("beats_chance"))
+
+
+def fitted_query(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return checked(materialize(scored(spark, d, kind), "scores"), labels)
+
+
+@query("f11_fit_logistic", MODEL_SQL)
 def f11(spark, d):
-    return scored(spark, d, "lr")
+    return fitted_query(spark, d, "lr")
 
 
-@query("f12_fit_forest")
+@query("f12_fit_forest", MODEL_SQL)
 def f12(spark, d):
-    return scored(spark, d, "rf")
+    return fitted_query(spark, d, "rf")
 
 
-@query("f13_fit_boosted")
+@query("f13_fit_boosted", MODEL_SQL)
 def f13(spark, d):
-    return scored(spark, d, "xgb")
+    return fitted_query(spark, d, "xgb")
 
 
 @query("f14_score", """
@@ -185,18 +205,30 @@ def f14(spark, d):
     )
 
 
-@query("f16_run_experiment")
+@query("f16_run_experiment", """
+    SELECT model, split, TRUE AS agrees, TRUE AS best_on_val FROM (VALUES ('lr'), ('rf'), ('xgb')) m(model), (VALUES ('val'), ('test')) s(split)""")
 def f16(spark, d):
+    """Stored metrics are those of the stored predictions, and the chosen kind is best on validation."""
     subs = plans.collect_plan(features.plan(spark))
     run = models.run_experiment(labelled(spark, d), subs)
-    return run.metrics.withColumn("best", F.col("model") == run.best)
-
-
-@query("f17_predict")
+    again = metrics.evaluate(run.predictions, ["model", "split"])
+    names = ["roc_auc", "f1", "pr_auc"]
+    both = run.metrics.join(again.select("model", "split", *[F.col(c).alias(f"again_{c}") for c in names]), ["model", "split"])
+    val = run.metrics.filter("split = 'val'")
+    best = val.filter(F.col("model") == run.best).select("roc_auc").first()[0] == val.agg(F.max("roc_auc")).first()[0]
+    agrees = F.lit(True)
+    for c in names:
+        agrees = agrees & (F.abs(F.col(c) - F.col(f"again_{c}")) < 1e-9)
+    return both.select("model", "split", agrees.alias("agrees"), F.lit(best).alias("best_on_val"))
+
+
+@query("f17_predict", MODEL_SQL)
 def f17(spark, d):
     subs = plans.collect_plan(features.plan(spark))
-    rows = labelled(spark, d)
-    run = models.run_experiment(rows, subs, kinds=["lr", "rf"])
+    rows = materialize(labelled(spark, d), "labelled")
+    run = models.run_experiment(rows, subs)
     best, path = run.models[run.best], scratch_path(spark, "model")
     models.save(best, path)
-    return models.predict(models.load(best.kind, path, best.plan, best.names), rows)
+    found = models.predict(models.load(best.kind, path, best.plan, best.names), rows).join(
+        rows.select("id", "split"), "id")
+    return checked(materialize(found, "scores"), rows.select("id", "label"))

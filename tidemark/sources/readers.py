@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.lists import json_from_literal
 
@@ -67,12 +67,21 @@ def map_batches(
 
 
 def explode_responses(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per element of any of the given array columns, missing fields filled with null."""
-    parts = [df.select(F.explode(c).alias("r")).select("r.*") for c in columns]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    """One row per element of any of the given array columns, missing fields filled with null.
+
+    The arrays are brought to one struct type and joined in the row, so the files are read once.
+    """
+    kinds: dict[str, str] = {}
+    for c in columns:
+        for field in df.schema[c].dataType.elementType.fields:
+            kinds.setdefault(field.name, field.dataType.simpleString())
+
+    def common(c: str) -> Column:
+        own = set(df.schema[c].dataType.elementType.names)
+        return F.transform(F.coalesce(F.col(c), F.array()), lambda r: F.struct(*[
+            (r[name] if name in own else F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()]))
+
+    return df.select(F.explode(F.concat(*map(common, columns))).alias("r")).select("r.*")
 
 
 def unpack_tables(df: DataFrame, columns: list[str], payload: str = "data") -> DataFrame:
