@@ -38,24 +38,30 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def scan_lists(percent: int, boundary: int = 0, enough: int = 1):
     """Pairs in each list, which is sorted by size, with the number of keys that they were found by.
 
-    Up to ``SHORT_LIST`` rows a list gives all its pairs. A longer one links neighbours only, up to where
-    sizes are too far apart, which connects all that could link; these count as found by ``enough`` keys, as
-    do pairs of sets of up to ``boundary`` elements.
+    Up to ``SHORT_LIST`` rows a list gives all its pairs. A longer one is cut where neighbouring sizes are too
+    far apart, and all of a part are paired with its first, which connects all that could link; these pairs
+    count as found by ``enough`` keys, as do those of sets of up to ``boundary`` elements.
     """
     def pairs_of(rows: np.ndarray) -> np.ndarray:
         begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         size = np.repeat(np.diff(np.append(begin, rows.shape[1])), np.diff(np.append(begin, rows.shape[1])))
         found = []
+
+        def add(left: np.ndarray, right: np.ndarray, keys: np.ndarray) -> None:
+            found.append(np.stack([np.minimum(rows[2, left], rows[2, right]),
+                                   np.maximum(rows[2, left], rows[2, right]), keys]))
+
         for step in range(1, SHORT_LIST):
             left, right = np.arange(rows.shape[1] - step), np.arange(step, rows.shape[1])
             ok = (rows[0, left] == rows[0, right]) & (100 * rows[1, left] >= percent * rows[1, right])
-            ok &= (rows[2, left] != rows[2, right]) & ((step == 1) | (size[left] <= SHORT_LIST))
-            if not ok.any():
-                continue
-            left, right = left[ok], right[ok]
-            keys = np.where((size[left] > SHORT_LIST) | (rows[1, right] <= boundary), enough, 1)
-            found.append(np.stack([np.minimum(rows[2, left], rows[2, right]),
-                                   np.maximum(rows[2, left], rows[2, right]), keys]))
+            ok &= (rows[2, left] != rows[2, right]) & (size[left] <= SHORT_LIST)
+            if ok.any():
+                add(left[ok], right[ok], np.where(rows[1, right[ok]] <= boundary, enough, 1))
+        starts = np.ones(rows.shape[1], bool)
+        starts[1:] = (rows[0, 1:] != rows[0, :-1]) | (100 * rows[1, :-1] < percent * rows[1, 1:])
+        first = np.maximum.accumulate(np.where(starts, np.arange(len(starts)), 0))
+        right = np.flatnonzero((size > SHORT_LIST) & (rows[2, first] != rows[2]))
+        add(first[right], right, np.full(len(right), enough))
         return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
 
     def emit(pairs: list[np.ndarray]) -> pa.RecordBatch:
@@ -74,7 +80,7 @@ def scan_lists(percent: int, boundary: int = 0, enough: int = 1):
             if whole:
                 out.append(pairs_of(held[:, :whole]))
                 held = held[:, whole:]
-            elif held.shape[1] > 2 * LONG_LIST:  # one list of any length: its neighbours, piece by piece
+            elif held.shape[1] > 2 * LONG_LIST:  # one list of any length, in pieces that overlap
                 out.append(pairs_of(held))
                 held = held[:, -SHORT_LIST - 1:]
             else:
