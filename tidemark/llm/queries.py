@@ -57,7 +57,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_line_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), equal_short=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
