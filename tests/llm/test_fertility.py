@@ -74,3 +74,17 @@ def test_empty_table_and_repeats(spark):
     docs = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "z")], "doc_id long, text string")
     assert judge(docs, VOCABULARIES).count() == 3
     assert judge(docs.limit(0), VOCABULARIES).count() == 0
+
+
+def test_copies_and_lone_texts_do_not_set_the_bands(spark):
+    rng = random.Random(6)
+    short, long = ["a", "of", "to", "in", "it"], ["international", "government", "information", "development"]
+    texts = [" ".join(rng.choice(long if rng.random() < i / 40 else short) + rng.choice(["", "", ",", "."])
+                      for _ in range(100)) for i in range(40)]
+    docs = [(i, t, "en") for i, t in enumerate(texts)] + [(1000 + i, texts[20], "en") for i in range(200)]
+    docs.append((5000, " ".join("%08x" % rng.getrandbits(32) + "ßæþ" for _ in range(900)), "en"))
+    docs.append((5001, docs[-1][1], "xx"))
+    rows = {r.doc_id: r for r in judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"),
+                                       VOCABULARIES).collect()}
+    assert len(rows) == len(docs) and all(r.kept == (not r.base_failed) for i, r in rows.items() if i < 5000)
+    assert not any(rows[i].kept or rows[i].base_failed for i in (5000, 5001))

@@ -2,8 +2,8 @@
 
 Public vocabularies measure every text: characters per token, share of tokens that stand for less than a
 character (byte fallback) and entropy of the tokens. What is usual differs between languages and with
-length, so bands of acceptance are taken from all texts of a language (or script) and length class; a text
-outside a band of any vocabulary is rejected. A text is measured as its words, each with one space before it,
+length, so bands of acceptance are taken from all distinct texts of a language (or script) and length class, or
+of wider groups where those are few; a text outside a band of any vocabulary is rejected. A text is measured as its words, each with one space before it,
 so a word is tokenised once per batch.
 """
 
@@ -27,6 +27,7 @@ from tidemark.session import materialize
 
 CACHE_WORDS = 150_000
 FENCE = 3.0
+LEAST_TEXTS = 20
 LEAST_SPREAD = {"chars_per_token": 0.25, "fallback_share": 0.02, "entropy": 0.02}
 MEASURES = list(LEAST_SPREAD)
 SYMBOLS = np.zeros(256, bool)
@@ -184,11 +185,11 @@ def _measure(vocabularies: tuple[Vocabulary, ...]):
                 counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pc.fill_null(piece.column("lang"), ""),
-                     pa.array(main_script(data, offsets))]
+                     pa.array(main_script(data, offsets)), piece.column("text_key")]
                     + [pa.array(out[c].astype(np.int64)) for c in counts] + [pa.array(out[c]) for c in names],
-                    ["doc_id", "lang", "script", *counts, *names])
+                    ["doc_id", "lang", "script", "text_key", *counts, *names])
 
-    schema = ("doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, "
+    schema = ("doc_id long, lang string, script string, text_key long, n_words long, word_chars long, n_symbols long, "
               "n_dup_lines long, n_repeat_words long, " + ", ".join(f"{c} double" for c in names))
     return run, schema
 
@@ -198,28 +199,42 @@ def judge(docs: DataFrame, vocabularies: tuple[Vocabulary, ...], min_words: int
     """Counts, measures and verdict of every row of ``docs`` (doc_id, text and, if it is there, lang).
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat`` % of them in repeated
-    three-word windows. Bands are taken from all rows that pass these rules, per language (or script, where
-    lang is null or missing) and length class (half powers of two of the word count): from the quartiles
-    outwards by ``fence`` times their distance, or ``LEAST_SPREAD`` if that is more. ``kept`` is false if the
+    three-word windows. Bands are taken from all distinct texts that pass these rules, per language (or script,
+    where lang is null or missing) and length class (half powers of two of the word count); where these are
+    fewer than ``LEAST_TEXTS``, per language and four length classes, else per language, else per script. They go
+    from the quartiles outwards by ``fence`` times their distance, or ``LEAST_SPREAD`` if that is more. ``kept`` is false if the
     base rules fail or a measure is outside its band. A null text counts as empty: no words, not kept. Rows
     that repeat and null ids are kept as they are; other columns are dropped; an empty table gives no rows.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
     rows = materialize(docs.mapInArrow(*_measure(vocabularies)), "measures")
     rows = rows.withColumn("base_failed", (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
     rows = rows.withColumn("group", F.when(F.col("lang") != "", F.col("lang")).otherwise(F.col("script")))
     rows = rows.withColumn("length_class", F.floor(2 * F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
     names = {f"{v.name}_{m}": spread for v in vocabularies for m, spread in LEAST_SPREAD.items()}
-    bands = rows.where(~F.col("base_failed")).groupBy("group", "length_class").agg(
-        *[F.percentile_approx(c, [0.25, 0.75], 2000).alias(f"band_{c}") for c in names])
+    rows = rows.withColumn("length_span", F.floor(F.col("length_class") / 4).cast("int"))
+    levels = [["group", "length_class"], ["group", "length_span"], ["group"], ["script"]]
+    keys = ["group", "script", "length_class", "length_span", "text_key"]
+    distinct = materialize(rows.where(~F.col("base_failed")).groupBy(keys).agg(*[F.min(c).alias(c) for c in names]),
+                           "distinct")
+    for i, level in enumerate(levels):
+        texts = distinct.dropDuplicates(["script", "text_key"]) if level == ["script"] else distinct
+        bands = texts.groupBy(level).agg(F.count("*").alias("texts"), *[
+            F.percentile_approx(c, [0.25, 0.75], 2000).alias(f"band{i}_{c}") for c in names])
+        if level != levels[-1]:
+            bands = bands.where(F.col("texts") >= LEAST_TEXTS)
+        rows = rows.join(bands.drop("texts"), level, "left")
+    for c in names:
+        rows = rows.withColumn(f"band_{c}", F.coalesce(*[f"band{i}_{c}" for i in range(len(levels))])).drop(
+            *[f"band{i}_{c}" for i in range(len(levels))])
     inside = F.lit(True)
     for c, spread in names.items():
         low, high = F.col(f"band_{c}")[0], F.col(f"band_{c}")[1]
         room = F.greatest(fence * (high - low), F.lit(spread))
         inside = inside & F.col(c).between(low - room, high + room)
-    rows = rows.join(bands, ["group", "length_class"], "left")
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop(
-        *[f"band_{c}" for c in names])
+        "text_key", "length_span", *[f"band_{c}" for c in names])
 
