@@ -166,3 +166,13 @@ def test_cached_search_runs_once_per_question(spark, corpus, queries):
     assert asked == [30, 0]
     shifted = {q - 1000: ids for q, ids in ids_by_query(two).items()}
     assert ids_by_query(one) == shifted
+
+
+def test_row_queries_find_nine_tenths_of_their_neighbours(spark, sf_dir):
+    from tidemark.queries import retrieval
+
+    asked, vectors = retrieval.row_queries(spark, sf_dir), retrieval.vector_table(spark, sf_dir)
+    exact = {(r.query_id, r.id) for r in dense.search_dense(asked, vectors, 10).collect()}
+    found = {(r.query_id, r.id) for r in retrieval.ann_row_hits(spark, sf_dir).collect()}
+    assert {q for q, _ in exact} == {r.id for r in vectors.collect() if r.id % 20 == 0}
+    assert len(found & exact) >= 0.9 * len(exact)

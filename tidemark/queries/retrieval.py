@@ -185,6 +185,31 @@ def r4(spark, d):
         (F.col("recall") >= 0.5).alias("recalls_half"))
 
 
+def row_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth vector as a query over all vectors, whatever their date."""
+    return vector_table(spark, d).filter("id % 20 = 0").select(
+        F.col("id").alias("query_id"), F.lit(None).cast("date").alias("as_of"), F.col("vec").alias("qvec"))
+
+
+def ann_row_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate hits of ``row_queries``: 12 of 16 cells, for a recall of 0.9 or more."""
+    return dense.search_ann(row_queries(spark, d), dense.build_cells(vector_table(spark, d), cells=16), 10, nprobe=12)
+
+
+@query("r4_search_ann_rows", """
+    SELECT vec_id AS query_id, 10::BIGINT AS hits, true AS fewer_compared, true AS recalls FROM embeddings
+    WHERE vec_id % 20 = 0""")
+def r4_rows(spark, d):
+    """Hits of each query, and whether 0.9 of all exact hits are among them."""
+    vectors = vector_table(spark, d)
+    found = materialize(ann_row_hits(spark, d), "hits")
+    exact = dense.search_dense(row_queries(spark, d), vectors, 10)
+    hits = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    recall = hits.agg((F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("recalls"))
+    return found.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("hits"), (F.max("compared") < vectors.count()).alias("fewer_compared")).crossJoin(recall)
+
+
 @query("r4_search_ann_all_cells", VECTOR_SQL)
 def r4_all(spark, d):
     index = dense.build_cells(vector_table(spark, d), cells=8)
