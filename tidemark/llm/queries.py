@@ -16,6 +16,7 @@ from tidemark.llm import (
     line_dedup,
     log_bilinear,
     sql,
+    substring_dedup,
     suffix_dedup,
     warc,
 )
@@ -94,3 +95,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rest.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@query("op11_substring_dedup", sql.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = substring_dedup.remove_windows(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rest.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
