@@ -15,6 +15,8 @@ from tidemark.llm import (
     line_crf,
     line_dedup,
     log_bilinear,
+    merkle,
+    spelling,
     sql,
     substring_dedup,
     suffix_dedup,
@@ -101,3 +103,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = substring_dedup.remove_windows(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rest.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@query("op12_merkle_manifest", sql.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents", *fields)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.audited(docs, fields, "source", "doc_id", {"text": text}).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root",
+        "verified")
+
+
+@query("op13_spelling_variants", sql.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"), every=199)
