@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 # Scores are ranked after rounding: sums of doubles depend on their order, and equal texts must tie.
 SCORE_DECIMALS = 6
@@ -63,3 +64,15 @@ def local_top_k(
             yield hits[["query_id", "id", "chunk_no", "score"]]
 
     return run
+
+
+def latest_day(queries: DataFrame) -> int | None:
+    """The greatest as-of day of the queries; None if one has no bound. Rows dated then or later are seen by none."""
+    bound = queries.agg(F.max(F.unix_date("as_of")), F.count(F.when(F.col("as_of").isNull(), 1))).first()
+    return None if bound[1] else bound[0]
+
+
+def before_all(rows: DataFrame, queries: DataFrame, column: str = "doc_date") -> DataFrame:
+    """``rows`` that at least one query may see, by a date filter that reaches the scan."""
+    day = latest_day(queries)
+    return rows if day is None else rows.where(F.col(column) < F.date_from_unix_date(F.lit(day)))

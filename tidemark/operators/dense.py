@@ -12,7 +12,7 @@ from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.operators.blocks import local_top_k
+from tidemark.operators.blocks import before_all, local_top_k
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize, scratch_path
 
@@ -105,7 +105,8 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFra
     small = queries.select(
         "query_id", F.col("qvec").cast("array<double>").alias("qvec"), F.unix_date("as_of").alias("as_of_day"),
     ).filter("qvec is not null")
-    side = vectors.filter("vec is not null").select("id", "chunk_no", "vec", F.unix_date("doc_date").alias("day"))
+    side = before_all(vectors, queries).filter("vec is not null").select(
+        "id", "chunk_no", "vec", F.unix_date("doc_date").alias("day"))
     fields = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *vectors.schema.fields]}
     schema = f"query_id {fields['query_id']}, id {fields['id']}, chunk_no {fields['chunk_no']}, score double"
 

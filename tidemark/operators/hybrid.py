@@ -16,7 +16,7 @@ from tidemark.operators.dense import (
     DEFAULT_DIM, QUERY_BLOCK_ROWS, bucket_idf, hashed_tfidf, token_buckets, unit_tfidf,
 )
 from tidemark.operators.etl import recode_outcome
-from tidemark.operators.blocks import SCORE_CELLS, SCORE_DECIMALS, local_top_k
+from tidemark.operators.blocks import SCORE_CELLS, SCORE_DECIMALS, before_all, local_top_k
 from tidemark.operators.keyword import (
     MAX_BLOCK_TERMS, bm25_scorer, query_terms, terms_with_frequency, token_table, with_tokens,
 )
@@ -121,7 +121,7 @@ def search_hybrid(queries: DataFrame, index: SearchIndex, k: int = HITS, weight:
     blocks = max(1, -(-encoded.count() // QUERY_BLOCK_ROWS), -(-terms.count() // MAX_BLOCK_TERMS))
     place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     n, mean_len = index.tokens.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
-    rows = index.chunks.select(
+    rows = before_all(index.chunks, queries).select(
         "id", "chunk_no", F.unix_date("doc_date").alias("day"), F.size("tokens").alias("doc_len"), "tokens", "buckets")
     fields = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *index.chunks.schema.fields]}
     schema = f"query_id {fields['query_id']}, id {fields['id']}, chunk_no {fields['chunk_no']}, score double"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import tokenize
-from tidemark.operators.blocks import SCORE_DECIMALS, local_top_k
+from tidemark.operators.blocks import SCORE_DECIMALS, before_all, local_top_k
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
 
@@ -91,7 +91,7 @@ def search_keyword(queries: DataFrame, tokens: DataFrame, k: int = 10) -> DataFr
     over the tokens per block.
     """
     n, mean_len = tokens.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
-    rows = tokens.select(*CHUNK_KEY, F.unix_date("doc_date").alias("day"), "doc_len", "tokens")
+    rows = before_all(tokens, queries).select(*CHUNK_KEY, F.unix_date("doc_date").alias("day"), "doc_len", "tokens")
     fields = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *tokens.schema.fields]}
     schema = f"query_id {fields['query_id']}, id {fields['id']}, chunk_no {fields['chunk_no']}, score double"
 

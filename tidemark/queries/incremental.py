@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators import index_store
 from tidemark.queries.registry import query, table
-from tidemark.queries.retrieval import chunk_sql
+from tidemark.queries.retrieval import KEYWORD_SQL, QUERIES_SQL, chunk_sql, corpus, passages, top_sql
 from tidemark.session import scratch_path
 from tidemark.streaming import ingest
 
@@ -35,6 +36,16 @@ def st2(spark, d):
     return spark.read.parquet(store).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
 
 
+@query("st2_stream_segments", f"""
+    WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL} SELECT * FROM {top_sql("keyword_scores", 10)}""")
+def st2_segments(spark, d):
+    """Hits of an index that grew by micro-batches and whose segments were merged."""
+    path = scratch_path(spark, "index")
+    ingest.stream_segments(arriving(corpus(spark, d), "id"), path, scratch_path(spark, "checkpoint"))
+    index_store.merge(spark, path)
+    return index_store.search_stored(passages(spark, d), index_store.load(spark, path), 10)
+
+
 @query("st3_stream_features", """
     SELECT doc_id, n_chars AS chars, len(regexp_extract_all(text, '\\p{L}+')) AS words FROM documents WHERE doc_id % 7 <> 0""")
 def st3(spark, d):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import format_day
-from tidemark.operators import dense, hybrid, keyword
+from tidemark.operators import dense, hybrid, index_store, keyword
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
 from tidemark.queries.registry import DOC_DATE_SQL, QUERY_DATE_SQL, doc_date, query, query_date, table
 from tidemark.session import materialize, scratch_path
@@ -242,12 +242,29 @@ def r5_search_postings(spark, d):
     return keyword.search_postings(passages(spark, d), keyword.KeywordIndex(tokens, postings), 10)
 
 
+@query("r5_search_stored", f"""
+    WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL} SELECT * FROM {top_sql("keyword_scores", 10)}""")
+def r5_search_stored(spark, d):
+    """From a stored index of two segments, read back by its path."""
+    path, docs = scratch_path(spark, "index"), corpus(spark, d)
+    for part in range(2):
+        index_store.append(docs.filter(F.col("id") % 2 == part), path)
+    return index_store.search_stored(passages(spark, d), index_store.load(spark, path), 10)
+
+
 @query("r6_search_hybrid", f"{FULL_SQL} SELECT query_id, id, chunk_no, score, rank FROM hits")
 def r6(spark, d):
     index = hybrid.build_index(corpus(spark, d), dim=DIM)
     return hybrid.search_hybrid(passages(spark, d), index)
 
 
+@query("r6_search_stored", f"{FULL_SQL} SELECT query_id, id, chunk_no, score, rank FROM hits")
+def r6_stored(spark, d):
+    path = scratch_path(spark, "index")
+    index_store.append(corpus(spark, d), path, dim=DIM)
+    return hybrid.search_hybrid(passages(spark, d), index_store.load(spark, path).search_index())
+
+
 @query("r7_search_articles", f"""
     {FULL_SQL} SELECT query_id, rank, id, h.chunk_no, score, md5(chunk) AS chunk_md5,
       strftime(c.doc_date, '%Y-%m-%d') AS date_avail, lang, array_to_string(string_split(source || '-a-b-c-d-e', '-')[1:5], ',') AS authors
@@ -300,6 +317,35 @@ def r9(spark, d):
     return hybrid.search_cached(repeated, store, "docs-v1", search, settings="k=10")
 
 
+@query("r9_search_versions", f"""
+    WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL} SELECT * FROM {top_sql("keyword_scores", 10)}""")
+def r9_versions(spark, d):
+    """Answers of an earlier version of the index are not those of the grown one."""
+    path, store, docs, asked = scratch_path(spark, "index"), scratch_path(spark, "searches"), corpus(spark, d), passages(spark, d)
+
+    def cached() -> DataFrame:
+        index = index_store.load(spark, path)
+        return hybrid.search_cached(asked, store, "docs", lambda todo: index_store.search_stored(todo, index, 10),
+                                    settings=f"k=10;version={index.version}")
+
+    index_store.append(docs.filter("id % 3 = 0"), path)
+    cached()
+    index_store.append(docs.filter("id % 3 <> 0"), path)
+    return cached()
+
+
+@query("j7_as_of_hits", f"""
+    WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL}
+    SELECT query_id, rank, id, chunk_no, score, md5(chunk) AS chunk_md5, doc_date FROM {top_sql("keyword_scores", 10)}
+    JOIN chunks USING (id, chunk_no)""")
+def j7_hits(spark, d):
+    path = scratch_path(spark, "index")
+    index_store.append(corpus(spark, d), path)
+    index = index_store.load(spark, path)
+    hits = index_store.search_stored(passages(spark, d), index, 10)
+    return hits.join(index.chunks.select("id", "chunk_no", "doc_date", F.md5("chunk").alias("chunk_md5")), ["id", "chunk_no"])
+
+
 @query("j7_as_of_top_k", f"""
     WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL}
     SELECT query_id, count(*) AS hits, max(doc_date) < min(as_of) AS all_before FROM {top_sql("keyword_scores", 10)} h
@@ -327,3 +373,9 @@ def j10(spark, d):
 def l2(spark, d):
     hits = keyword.search_keyword(passages(spark, d), token_rows(spark, d), 3)
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last_rank"))
+
+
+@query("l2_search_limit_hits", f"""
+    WITH RECURSIVE {chunk_sql()}, {QUERIES_SQL}, {KEYWORD_SQL} SELECT * FROM {top_sql("keyword_scores", 3)}""")
+def l2_hits(spark, d):
+    return keyword.search_keyword(passages(spark, d), token_rows(spark, d), 3)

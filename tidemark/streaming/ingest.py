@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators import index_store
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
 from tidemark.operators.etl import distinct_rows, unseen
 from tidemark.sources.store import materialize_missing
@@ -56,6 +57,22 @@ def stream_index(source: DataFrame, store: str, text: str, checkpoint: str, max_
     query.awaitTermination()
 
 
+def stream_segments(source: DataFrame, path: str, checkpoint: str, **settings) -> None:
+    """Add every micro-batch of (id, doc_date, text) to the stored index at ``path`` as a segment of its own number.
+
+    A batch that is replayed after a failure finds its segment in the log and adds nothing, or writes it anew.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        index_store.append(batch, path, segment=f"batch-{batch_id}", **settings)
+
+    query = (
+        source.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
 def stream_features(
     source: DataFrame, store: str, plan_hash: str, compute: Callable[[DataFrame], DataFrame],
     on: list[str], checkpoint: str,
