@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import format_day
-from tidemark.operators import dense, hybrid, index_store, keyword
+from tidemark.operators import dense, hybrid, index_store, keyword, quantised
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
 from tidemark.queries.registry import DOC_DATE_SQL, QUERY_DATE_SQL, doc_date, query, query_date, table
 from tidemark.session import materialize, scratch_path
@@ -210,6 +210,20 @@ def r4_rows(spark, d):
         F.count(F.lit(1)).alias("hits"), (F.max("compared") < vectors.count()).alias("fewer_compared")).crossJoin(recall)
 
 
+@query("r4_search_quantised", """
+    SELECT vec_id AS query_id, 10::BIGINT AS hits, true AS few_compared, true AS recalls FROM embeddings
+    WHERE vec_id % 20 = 0""")
+def r4_quantised(spark, d):
+    """Hits of every twentieth vector over all: under a tenth compared exactly, and 0.9 of all exact hits found."""
+    vectors, asked = vector_table(spark, d), row_queries(spark, d)
+    found = materialize(quantised.search_quantised(asked, quantised.build_quantised(vectors), 10), "hits")
+    exact = dense.search_dense(asked, vectors, 10)
+    hits = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    recall = hits.agg((F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("recalls"))
+    return found.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("hits"), (10 * F.max("compared") < vectors.count()).alias("few_compared")).crossJoin(recall)
+
+
 @query("r4_search_ann_all_cells", VECTOR_SQL)
 def r4_all(spark, d):
     index = dense.build_cells(vector_table(spark, d), cells=8)
