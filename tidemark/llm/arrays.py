@@ -150,3 +150,25 @@ def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del batch
         pa.default_memory_pool().release_unused()
 
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Lists of the rows of one bucket, which come one after the other; rows of negative buckets come alone."""
+    last, held = None, []
+    for batch in in_batches(batches):
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if row[0] < 0:
+                yield [row]
+                continue
+            if row[0] != last and held:
+                yield held
+                held = []
+            last = row[0]
+            held.append(row)
+    if held:
+        yield held
+
+
+def joined(rows: list[tuple], i: int, kind) -> np.ndarray:
+    """The arrays that column ``i`` of the rows holds as bytes, as one."""
+    return np.frombuffer(b"".join(x[i] for x in rows), kind)

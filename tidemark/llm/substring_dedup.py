@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import GRAM_FACTORS, gram_hashes, in_batches, mix, pieces, span_hashes, utf8, word_spans
+from tidemark.llm.arrays import (
+    GRAM_FACTORS, by_bucket, gram_hashes, in_batches, joined, mix, pieces, span_hashes, utf8, word_spans,
+)
 from tidemark.session import materialize
 
 WINDOW = 13
@@ -244,41 +246,20 @@ def _entries(size: int, bits: int, buckets: int, field):
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
-    """Lists of the rows of one bucket, which come one after the other; rows of negative buckets come alone."""
-    last, held = None, []
-    for batch in in_batches(batches):
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            if row[0] < 0:
-                yield [row]
-                continue
-            if row[0] != last and held:
-                yield held
-                held = []
-            last = row[0]
-            held.append(row)
-    if held:
-        yield held
-
-
-def _joined(rows: list[tuple], i: int, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x[i] for x in rows), kind)
-
-
 def _settle(buckets: int):
     names = [*RUNS, "keys", "checks", "ids", "rows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches, names):
+        for rows in by_bucket(batches, names):
             if rows[0][0] < 0:
                 out = [(-rows[0][0], *rows[0][1:5])]
             else:
                 sizes = [len(x[1]) // 8 for x in rows]
                 starts = np.cumsum([0, *sizes[:-1]])
                 text = np.concatenate([np.frombuffer(x[8], np.int32) + s for x, s in zip(rows, starts, strict=True)])
-                ids, row_keys = _joined(rows, 7, np.int64)[text], _joined(rows, 1, np.int64)[text]
-                gone = later(_joined(rows, 5, np.uint64), _joined(rows, 6, np.uint32), ids)
-                out = dealt_runs(row_keys[gone], _joined(rows, 3, np.int32)[gone], buckets, 1)
+                ids, row_keys = joined(rows, 7, np.int64)[text], joined(rows, 1, np.int64)[text]
+                gone = later(joined(rows, 5, np.uint64), joined(rows, 6, np.uint32), ids)
+                out = dealt_runs(row_keys[gone], joined(rows, 3, np.int32)[gone], buckets, 1)
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64(), *[pa.binary()] * 4])], RUNS)
@@ -288,9 +269,9 @@ def _settle(buckets: int):
 def _spans(size: int):
     """For each text of a bucket: the ranges of words that its windows cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches, RUNS):
-            row_keys = np.repeat(_joined(rows, 1, np.int64), _joined(rows, 2, np.int32))
-            first, end = _joined(rows, 3, np.int32), _joined(rows, 4, np.int32) + (size - 1)
+        for rows in by_bucket(batches, RUNS):
+            row_keys = np.repeat(joined(rows, 1, np.int64), joined(rows, 2, np.int32))
+            first, end = joined(rows, 3, np.int32), joined(rows, 4, np.int32) + (size - 1)
             order = np.lexsort((first, row_keys))
             row_keys, first, end = row_keys[order], first[order], end[order]
             text = np.cumsum(np.concatenate([[0], row_keys[1:] != row_keys[:-1]])).astype(np.int64) << 32
