@@ -19,7 +19,9 @@ LONG_LIST = 200_000
 CHUNK_ROWS = 1 << 16
 BLOCK_SETS = 1024
 ANCHORS = 16
-FILTER_BITS = 1 << 22
+PENDING_PAIRS = 1 << 20
+BITS_PER_ID = 16
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -40,7 +42,8 @@ def scan_lists(percent: int, boundary: int = 0, enough: int = 1):
 
     Up to ``SHORT_LIST`` rows a list gives all its pairs. A longer one is cut where neighbouring sizes are too
     far apart, and all of a part are paired with its first, which connects all that could link; these pairs
-    count as found by ``enough`` keys, as do those of sets of up to ``boundary`` elements.
+    count as found by ``enough`` keys, as do those of sets of up to ``boundary`` elements. Pairs that a task has found
+    by ``enough`` keys are given as a forest, enough to connect them; others that they connect are left out.
     """
     def pairs_of(rows: np.ndarray) -> np.ndarray:
         begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
@@ -69,8 +72,16 @@ def scan_lists(percent: int, boundary: int = 0, enough: int = 1):
         order = np.lexsort((pairs[1], pairs[0]))
         pairs = pairs[:, order]
         begin = np.flatnonzero(np.concatenate([[True], (np.diff(pairs[:2], axis=1) != 0).any(axis=0)]))
-        return pa.RecordBatch.from_arrays(
-            [pairs[0, begin], pairs[1, begin], np.add.reduceat(pairs[2], begin)], ["a", "b", "keys"])
+        a, b, keys = pairs[0, begin], pairs[1, begin], np.add.reduceat(pairs[2], begin)
+        sure = keys >= enough
+        if sure.any():
+            ids, root = roots(a[sure], b[sure])
+            left, right = np.minimum(np.searchsorted(ids, [a, b]), len(ids) - 1)
+            joined = (ids[left] == a) & (ids[right] == b) & (root[left] == root[right])
+            edge = ids != root
+            a, b, keys = (np.concatenate([x, y[~joined]]) for x, y in (
+                (root[edge], a), (ids[edge], b), (np.full(int(edge.sum()), enough), keys)))
+        return pa.RecordBatch.from_arrays([a, b, keys], ["a", "b", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out, waiting = np.zeros((3, 0), np.int64), [], 0
@@ -86,7 +97,7 @@ def scan_lists(percent: int, boundary: int = 0, enough: int = 1):
             else:
                 continue
             waiting += out[-1].shape[1]
-            if waiting > LONG_LIST:
+            if waiting > PENDING_PAIRS:
                 yield emit(out)
                 out, waiting = [], 0
         if held.shape[1]:
@@ -96,28 +107,37 @@ def scan_lists(percent: int, boundary: int = 0, enough: int = 1):
     return run
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mark(size: int):
     """One row for each word of a bit field that the ids of this task touch."""
-    field = np.zeros(FILTER_BITS >> 5, np.int64)
-    for batch in in_batches(batches):
-        at = (mix(batch.column("id").to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-        np.bitwise_or.at(field, at >> 5, np.int64(1) << (at & 31))
-    at = np.flatnonzero(field)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(field[at])], ["word", "bits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [np.zeros(0, np.int64)]
+        for batch in in_batches(batches):
+            at = mix(batch.column("id").to_numpy().view(np.uint64)) % np.uint64(size)
+            words.append(np.unique(at.astype(np.int64)))
+        at = np.unique(np.concatenate(words))
+        begin = np.flatnonzero(np.diff(at >> 5, prepend=-1))
+        if len(at):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[begin] >> 5), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 31), begin))], ["word", "bits"])
+    return run
 
 
 def bit_field(ids: DataFrame) -> np.ndarray:
-    """A bit field of fixed size with the bits of all values of the column ``id`` set; for skipping other rows."""
-    bits = np.zeros(FILTER_BITS >> 5, np.int64)
-    for word, value in ids.select("id").mapInArrow(_mark, "word long, bits long").groupBy("word").agg(
-            F.bit_or("bits")).collect():
-        bits[word] = value
+    """A bit field with the bits of all values of the column ``id`` set; for skipping other rows.
+
+    Its size follows the number of ids, from ``LEAST_BITS`` to ``MOST_BITS`` bits (128 MB); fuller ones skip fewer rows.
+    """
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ID * max(ids.count(), 1) - 1).bit_length()))
+    bits = np.zeros(size >> 5, np.uint32)
+    found = ids.select("id").mapInArrow(_mark(size), "word long, bits long").groupBy("word").agg(
+        F.bit_or("bits").alias("bits")).toArrow()
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return bits
 
 
 def in_field(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = (mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-    return (bits[at >> 5] >> (at & 31)) & 1 == 1
+    at = (mix(ids.view(np.uint64)) % np.uint64(len(bits) << 5)).astype(np.int64)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
