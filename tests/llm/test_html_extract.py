@@ -40,6 +40,27 @@ def test_odd_pages():
     assert len(smoothed_ratios(lines)) == len(lines)
 
 
+def test_names_do_not_decide_on_the_main_region():
+    whole = LONG.strip()
+    for body in (f"<div class='layout has-sidebar'><article><p>{LONG}</p></article></div>",
+                 f"<article class='post promo'><p>{LONG}</p></article>",
+                 f"<div id='search-results-page'><article><p>{LONG}</p></article></div>",
+                 f"<div class='widget'><p>{LONG}</p></div><p>Short.</p>"):
+        assert whole in main_text(page(body)), body
+    inside = f"<article><p>{LONG}</p><p class='notice-period'>Three months.</p><div class='share'>Share<div>it</div></div><p>End.</p></article>"
+    assert main_text(page(inside)).split("\n") == [whole, "Three months.", "End."]
+    unclosed = f"<article><p>{LONG}</p><div class=ad>Buy</article><p class='promo'>x<p>After.</p>"
+    assert main_text(page(unclosed)) == whole
+
+
+def test_teasers_beside_the_article_go():
+    whole = LONG.strip()
+    teasers = "<article><h2>Other</h2><p>A few words.</p></article>" * 3
+    comments = "<div class='comments'>" + "<article class='comment'><p>I liked it.</p></article>" * 2 + "</div>"
+    text = main_text(page(f"<main><h1>Title</h1><article><p>{LONG}</p><p>{LONG}</p></article>{teasers}</main>{comments}"))
+    assert text.split("\n") == ["Title", whole, whole]
+
+
 def test_rows(spark, sf_dir):
     pages = spark.createDataFrame([(1, "u", None, 2), (None, None, f"<article>{LONG}", 3)],
                                   "page_id long, url string, html string, text int")
