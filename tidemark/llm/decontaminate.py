@@ -125,7 +125,10 @@ def find_items(docs: DataFrame, items: DataFrame, n_words: int = 5, percent: int
 
 
 def without_items(docs: DataFrame, items: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs``, with all their columns, that contain no item."""
-    hits = find_items(docs, items, n_words, percent).select(F.col("row_key").alias("__row_key")).distinct()
+    """Rows of ``docs``, with all their columns, whatever their names, that contain no item; rows with null ids too."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    hits = find_items(docs, items, n_words, percent).select(F.col("row_key").alias(name)).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.join(hits, key == F.col("__row_key"), "left_anti")
+    return docs.withColumn(name, key).join(hits, name, "left_anti").drop(name)
