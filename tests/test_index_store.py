@@ -59,7 +59,7 @@ def test_segments_give_the_hits_of_a_scan(spark, stored, queries, expected):
 
 
 def test_many_terms_are_joined_not_listed(spark, stored, queries, expected, monkeypatch):
-    monkeypatch.setattr(index_store, "PUSHED_VALUES", 2)
+    monkeypatch.setattr(blocks, "PUSHED_VALUES", 2)
     assert hits(index_store.search_stored(queries, index_store.load(spark, stored), 5)) == expected
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 SCORE_DECIMALS = 6
 SCORE_CELLS = 4_000_000
 
+# Up to so many values are written into a scan's filter.
+PUSHED_VALUES = 1000
+
 
 class _Best:
     """The best ``k`` hits per query seen so far in one task, and the score a new hit has to reach."""
@@ -76,3 +79,13 @@ def before_all(rows: DataFrame, queries: DataFrame, column: str = "doc_date") ->
     """``rows`` that at least one query may see, by a date filter that reaches the scan."""
     day = latest_day(queries)
     return rows if day is None else rows.where(F.col(column) < F.date_from_unix_date(F.lit(day)))
+
+
+def only_among(rows: DataFrame, column: str, values: DataFrame, also: Callable[[DataFrame, list], DataFrame] | None = None) -> DataFrame:
+    """``rows`` whose ``column`` is among those of ``values``: by a filter that the scan can use if they are few, which
+    ``also`` may add to, else by a join."""
+    few = [r[0] for r in values.select(column).distinct().limit(PUSHED_VALUES + 1).collect()]
+    if len(few) > PUSHED_VALUES:
+        return rows.join(values.select(column).distinct(), column, "left_semi")
+    rows = rows.where(F.col(column).isin([v for v in few if v is not None]))
+    return also(rows, few) if also else rows

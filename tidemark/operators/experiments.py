@@ -6,13 +6,10 @@ the column that tells experiments apart.
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.topk import range_buckets, rank_per_key, top_k_per_key
+from tidemark.operators.topk import rank_per_key, top_k_per_key
+from tidemark.session import materialize
 
 TOP_SIZES = [1, 3, 5]
 METRICS = ["test_roc_auc", "test_f1", "test_pr_auc"]
@@ -105,41 +102,21 @@ def best_child(scores: DataFrame, run: str = "run_id") -> DataFrame:
 
 # ---- leaderboard history --------------------------------------------------------------------------
 
-HISTORY_COLUMNS = [
-    *[f"top{n}_ids" for n in TOP_SIZES],
-    *[f"top{n}_{m.removeprefix('test_')}" for n in TOP_SIZES for m in METRICS],
-]
-
-
-def _fold_history(run: str):
-    """Group function: one range of consecutive explorations, starting from the carried-in best nodes."""
-    size = max(TOP_SIZES)
-
-    def summary(best: list[tuple]) -> dict:
-        row = {f"top{n}_ids": ",".join(b[2] for b in best[:n]) for n in TOP_SIZES}
-        for n in TOP_SIZES:
-            for j, metric in enumerate(METRICS):
-                scores = [b[3 + j] for b in best[:n]]
-                row[f"top{n}_{metric.removeprefix('test_')}"] = sum(scores) / len(scores) if scores else None
-        return row
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rollout")
-        carry = pdf["carry"].iloc[0]
-        best = sorted(
-            (-float(c["score"]), int(c["seq"]), c["node_id"], *[float(c[m]) for m in METRICS])
-            for c in (carry if carry is not None else [])
-        )
-        rows = []
-        for record in pdf.to_dict("records"):
-            if not isinstance(record["error"], str):
-                entry = (-record["score"], record["seq"], record["node_id"], *[record[m] for m in METRICS])
-                bisect.insort(best, entry)
-                del best[size:]
-            rows.append({run: record[run], "rollout": record["rollout"], **summary(best)})
-        return pd.DataFrame(rows, columns=[run, "rollout", *HISTORY_COLUMNS])
-
-    return fold
+HISTORY_BLOCK_BITS = 10
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """The best of two states, which are short arrays of entries, best first."""
+    return F.slice(F.array_sort(F.concat(a, b)), 1, max(TOP_SIZES))
+
+
+def _running_best(df: DataFrame, key: list[str], order: str, steps: int) -> DataFrame:
+    """``state`` merged with those of the up to ``2 ** steps - 1`` rows before: each step doubles the reach."""
+    window = Window.partitionBy(*key).orderBy(order)
+    for i in range(steps):
+        earlier = F.lag("state", 2**i).over(window)
+        df = df.withColumn("state", F.when(earlier.isNull(), F.col("state")).otherwise(_merged(F.col("state"), earlier)))
+    return df
 
 
 def leaderboard_history(
@@ -147,29 +124,34 @@ def leaderboard_history(
 ) -> DataFrame:
     """After each rollout, ids and mean test scores of the best 1, 3 and 5 nodes explored so far.
 
-    ``nodes`` has one explored node per (run, rollout). A run's rollouts are cut to ranges; each range
-    hands its five best on to the later ones, so a long run is many tasks and nodes are never paired
-    with rollouts.
+    ``nodes`` has one explored node per (run, rollout). The five best so far are a state that merges: a run is
+    cut to blocks of consecutive rollouts, states run through every block on its own, the blocks' last states run
+    through the run, and what earlier blocks hold is merged in. So a long run is many tasks, no row
+    holds more than five entries and nodes are never paired with rollouts.
     """
     base = nodes.select(run, "rollout", "seq", "node_id", "error", F.col(by).alias("score"), *METRICS)
-    bucketed = range_buckets(base, [run], [F.asc("rollout")], ranges)
-    fields = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-
-    size = max(TOP_SIZES)
-    best = top_k_per_key(bucketed.filter("error is null"), [run, "bucket"], [F.desc("score"), F.asc("seq")], size)
-    tops = best.groupBy(run, "bucket").agg(F.collect_list(F.struct("score", "seq", "node_id", *METRICS)).alias("tops"))
-    earlier = Window.partitionBy(run).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    present = bucketed.select(run, "bucket").distinct().join(tops, [run, "bucket"], "left")
-    carried = present.select(run, "bucket", F.flatten(F.collect_list("tops").over(earlier)).alias("all"))
-    best_first = F.array_sort(
-        F.col("all"),
-        lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
-        .when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0),
-    )
-    carry = carried.select(run, "bucket", F.slice(best_first, 1, size).alias("carry"))
-    ready = bucketed.join(carry, [run, "bucket"], "left")
-
-    schema = f"{run} {fields[run]}, rollout {fields['rollout']}, " + ", ".join(
-        f"{c} {'string' if c.endswith('_ids') else 'double'}" for c in HISTORY_COLUMNS
-    )
-    return ready.groupBy(run, "bucket").applyInPandas(_fold_history(run), schema)
+    entry = F.struct((-F.col("score")).alias("minus"), "seq", "node_id", *METRICS)
+    explored = F.col("error").isNull() & F.col("score").isNotNull()
+    rows = rank_per_key(base, [run], [F.asc("rollout")], "position", ranges).select(
+        run, "rollout", "position", F.shiftright(F.col("position") - 1, HISTORY_BLOCK_BITS).alias("block"),
+        F.filter(F.array(F.when(explored, entry)), lambda x: x.isNotNull()).alias("state"))
+    rows = materialize(_running_best(rows, [run, "block"], "position", HISTORY_BLOCK_BITS), "history")
+
+    last = rows.groupBy(run, "block").agg(F.max_by("state", "position").alias("state"))
+    steps = (rows.agg(F.max("block")).first()[0] or 0).bit_length()
+    carry = _running_best(last, [run], "block", steps).select(
+        run, (F.col("block") + 1).alias("block"), F.col("state").alias("carry"))
+    both = rows.join(carry, [run, "block"], "left")
+    state = F.when(F.col("carry").isNull(), F.col("state")).otherwise(_merged(F.col("state"), F.col("carry")))
+    best = both.select(run, "rollout", state.alias("state"))
+
+    def ids(n: int) -> Column:
+        return F.array_join(F.transform(F.slice("state", 1, n), lambda x: x["node_id"]), ",")
+
+    def mean(n: int, metric: str) -> Column:
+        scores = F.transform(F.slice("state", 1, n), lambda x: x[metric])
+        return F.try_divide(F.aggregate(scores, F.lit(0.0), lambda total, x: total + x), F.size(scores))
+
+    return best.select(
+        run, "rollout", *[ids(n).alias(f"top{n}_ids") for n in TOP_SIZES],
+        *[mean(n, m).alias(f"top{n}_{m.removeprefix('test_')}") for n in TOP_SIZES for m in METRICS])

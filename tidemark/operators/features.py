@@ -206,6 +206,11 @@ def collect_reasons(reasons: DataFrame) -> DataFrame:
     return collect_features(reasons, "reason").withColumnRenamed("features", "reasons")
 
 
+def of_split(rows: DataFrame, splits: DataFrame, split: str = "val") -> DataFrame:
+    """Rows of the records of one split (id, split); by default those that errors may be looked up in."""
+    return rows.join(splits.filter(F.col("split") == split).select("id").distinct(), "id", "left_semi")
+
+
 def drop_feature(df: DataFrame, feature: str) -> DataFrame:
     """Without one feature: rows of a long table, ``feature--*`` columns of a wide one."""
     if "feature" in df.columns:

@@ -16,7 +16,7 @@ from tidemark.operators.dense import (
     DEFAULT_DIM, QUERY_BLOCK_ROWS, bucket_idf, hashed_tfidf, token_buckets, unit_tfidf,
 )
 from tidemark.operators.etl import recode_outcome
-from tidemark.operators.blocks import SCORE_CELLS, SCORE_DECIMALS, before_all, local_top_k
+from tidemark.operators.blocks import SCORE_CELLS, SCORE_DECIMALS, before_all, local_top_k, only_among
 from tidemark.operators.keyword import (
     MAX_BLOCK_TERMS, bm25_scorer, query_terms, terms_with_frequency, token_table, with_tokens,
 )
@@ -150,12 +150,15 @@ def search_hybrid(queries: DataFrame, index: SearchIndex, k: int = HITS, weight:
 
 
 def attach_parent(hits: DataFrame, parent: DataFrame) -> DataFrame:
-    """Add the parent record of each hit: only ``k`` rows per query take part in the join."""
-    return hits.join(parent, "id")
+    """Add the parent record of each hit. The ids of few hits are a filter of the parent's scan, so row groups
+    without one are not read and nothing but the hits is shuffled."""
+    hits = materialize(hits, "hits")
+    return hits.join(only_among(parent, "id", hits), "id")
 
 
 def attach_chunk(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    return hits.join(chunks.select("id", "chunk_no", "chunk"), ["id", "chunk_no"])
+    hits = materialize(hits, "hits")
+    return hits.join(only_among(chunks.select("id", "chunk_no", "chunk"), "id", hits), ["id", "chunk_no"])
 
 
 def search_articles(

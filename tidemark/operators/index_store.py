@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.operators.blocks import SCORE_DECIMALS, latest_day
+from tidemark.operators.blocks import SCORE_DECIMALS, latest_day, only_among
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
 from tidemark.operators.dense import DEFAULT_DIM, hashed_tfidf, token_buckets
 from tidemark.operators.hybrid import HITS, SearchIndex
@@ -32,7 +32,6 @@ from tidemark.session import materialize
 RANGE_BITS = 12  # 4,096 chunks a range
 TERM_BUCKETS = 64
 FIRST_RANGES = 2
-PUSHED_VALUES = 1000  # up to so many terms or ranges are written into the scan's filter
 
 LOG = ("version int, action string, segment string, n_chunks long, total_len long, bucket_rows array<long>, "
        "max_chars int, dim int, range_bits int")
@@ -174,15 +173,6 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> StoredIn
         np.sum([r["bucket_rows"] for r in rows], axis=0), settings, chunks, blocks)
 
 
-def _only(rows: DataFrame, column: str, values: DataFrame, extra=None) -> DataFrame:
-    """``rows`` whose ``column`` is among ``values``: by a filter that the scan can use if they are few, else by a join."""
-    few = [r[0] for r in values.select(column).distinct().limit(PUSHED_VALUES + 1).collect()]
-    if len(few) > PUSHED_VALUES:
-        return rows.join(values.select(column).distinct(), column, "left_semi")
-    rows = rows.where(F.col(column).isin(few))
-    return extra(rows, few) if extra else rows
-
-
 class ReadPlan(NamedTuple):
     """What a search reads: ``weights`` (query_id, as_of_day, term, idf), ``blocks`` of its terms, and all ``bounds`` (query_id,
     segment, range, bound), none of which begins after its query's date."""
@@ -199,7 +189,7 @@ def plan_reads(queries: DataFrame, index: StoredIndex) -> ReadPlan:
         known = rows.sparkSession.createDataFrame([(t,) for t in few], "term string").select(_term_bucket(F.col("term")))
         return rows.where(F.col("term_bucket").isin(sorted({r[0] for r in known.distinct().collect()})))
 
-    blocks = _only(index.blocks, "term", terms, folders)
+    blocks = only_among(index.blocks, "term", terms, folders)
     heads = materialize(blocks.select(*PLACE, "term", "df", "max_tf", "min_len", "min_day"), "heads")
     # Document frequencies count all dates, so they come before the dates prune anything.
     idf = bm25_idf(F.lit(index.n_chunks), F.col("df"))
@@ -217,7 +207,7 @@ def plan_reads(queries: DataFrame, index: StoredIndex) -> ReadPlan:
 def _scores(pairs: DataFrame, plan: ReadPlan, mean_len: float) -> DataFrame:
     """Scores of the chunks in the given (query_id, segment, range)."""
     wanted = pairs.select("query_id", *PLACE).join(plan.weights, "query_id")
-    read = _only(plan.blocks, "range", pairs).select(*PLACE, "term", "entries")
+    read = only_among(plan.blocks, "range", pairs).select(*PLACE, "term", "entries")
     entries = wanted.join(read, [*PLACE, "term"]).select("query_id", "as_of_day", "idf", F.inline("entries"))
     seen = entries.where("as_of_day IS NULL OR day < as_of_day")
     weight = F.col("idf") * bm25_weight(F.col("tf"), F.col("doc_len"), F.lit(mean_len))
@@ -237,7 +227,7 @@ def further_ranges(plan: ReadPlan, first: DataFrame, best: DataFrame, k: int) ->
 
 def search_stored(queries: DataFrame, index: StoredIndex, k: int = HITS) -> DataFrame:
     """The ``k`` best chunks of every query (query_id, text, as_of) by BM25, as ``search_keyword`` ranks them, from
-    the stored blocks. Queries are a table throughout: nothing of them reaches the driver but up to ``PUSHED_VALUES``
+    the stored blocks. Queries are a table throughout: nothing of them reaches the driver but up to ``blocks.PUSHED_VALUES``
     distinct terms. Runs jobs when called.
     """
     order = [F.desc("score"), F.asc("id"), F.asc("chunk_no")]

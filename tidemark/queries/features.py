@@ -244,6 +244,21 @@ def f18(spark, d):
     return ops.drop_feature(merged, "error").select("id", "feature", "reason")
 
 
+@query("f18_reasons_of_validation", """
+    SELECT id, list({'feature': feature, 'reason': reason} ORDER BY feature)::VARCHAR AS reasons FROM (
+      SELECT user_id AS id, event_type AS feature, arg_max('r' || event_id, event_id) AS reason FROM events
+      WHERE user_id % 10 IN (6, 7) GROUP BY 1, 2) GROUP BY id""")
+def f18_validation(spark, d):
+    rows = table(spark, d, "events").select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("group_no"), F.col("event_type").alias("feature"),
+        F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("reason"))
+    k = F.col("id") % 10
+    splits = rows.select("id").distinct().withColumn("split", F.when(k < 6, "train").when(k < 8, "val").otherwise("test"))
+    listed = ops.collect_reasons(ops.of_split(rows, splits))
+    text = F.transform("reasons", lambda r: F.concat(F.lit("{'feature': "), r["feature"], F.lit(", 'reason': "), r["reason"], F.lit("}")))
+    return listed.select("id", F.concat(F.lit("["), F.array_join(text, ", "), F.lit("]")).alias("reasons"))
+
+
 @query("f3_apply_groups", """
     SELECT doc_id AS id, g::INT AS group_no, CASE g WHEN 0 THEN 'size' ELSE 'words' END AS feature, 'n' AS sub,
       CASE WHEN doc_id % 7 = 0 AND g = 1 THEN NULL WHEN g = 0 THEN length(text)::VARCHAR ELSE len(string_split(text, ' '))::VARCHAR END AS raw,

@@ -8,6 +8,7 @@ from tidemark.operators import index_store
 from tidemark.queries.registry import query, table
 from tidemark.queries.retrieval import KEYWORD_SQL, QUERIES_SQL, chunk_sql, corpus, passages, top_sql
 from tidemark.session import scratch_path
+from tidemark.sources import keyed
 from tidemark.streaming import ingest
 
 
@@ -27,6 +28,24 @@ def st1(spark, d):
     return spark.read.parquet(store).drop("batch_id")
 
 
+@query("st1_stream_keyed", """
+    SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem
+    JOIN (SELECT l_orderkey, min(l_linenumber % 3) AS batch FROM lineitem GROUP BY l_orderkey) USING (l_orderkey)
+    WHERE l_linenumber % 3 = batch""")
+def st1_keyed(spark, d):
+    """Keys come again in later batches and are skipped; the store is compacted on the way and a batch is replayed."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    files, checkpoint = scratch_path(spark, "arriving"), scratch_path(spark, "checkpoint")
+    store = keyed.KeyedStore(scratch_path(spark, "keyed"), "l_orderkey", 16)
+    for part in range(3):
+        rows.where(F.col("l_linenumber") % 3 == part).coalesce(1).write.mode("append").parquet(files)
+        if part:
+            ingest.stream_keyed(ingest.read_stream(spark, files, rows.schema, files_per_batch=1), store, checkpoint)
+            keyed.compact(spark, store)
+    keyed.upsert_keyed(rows.where("l_linenumber % 3 = 1"), store, "batch-1")
+    return keyed.read_keyed(spark, store)
+
+
 @query("st2_stream_index", f"""
     WITH RECURSIVE {chunk_sql()} SELECT id AS doc_id, chunk_no, md5(chunk) AS chunk_md5 FROM chunks""")
 def st2(spark, d):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.operators import index_store
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
 from tidemark.operators.etl import distinct_rows, unseen
+from tidemark.sources.keyed import KeyedStore, upsert_keyed
 from tidemark.sources.store import materialize_missing
 
 
@@ -48,6 +49,15 @@ def stream_upsert(source: DataFrame, store: str, key: str, checkpoint: str) -> N
     query.awaitTermination()
 
 
+def stream_keyed(source: DataFrame, store: KeyedStore, checkpoint: str) -> None:
+    """As ``stream_upsert``, into a store of key buckets: a micro-batch reads the buckets of its own keys only."""
+    query = (
+        source.writeStream.foreachBatch(lambda df, n: upsert_keyed(df, store, f"batch-{n}"))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
 def stream_index(source: DataFrame, store: str, text: str, checkpoint: str, max_chars: int = DEFAULT_MAX_CHARS) -> None:
     """Chunk new records and append them; a restart goes on where the checkpoint stands."""
     query = (
