@@ -176,3 +176,16 @@ def test_row_queries_find_nine_tenths_of_their_neighbours(spark, sf_dir):
     found = {(r.query_id, r.id) for r in retrieval.ann_row_hits(spark, sf_dir).collect()}
     assert {q for q, _ in exact} == {r.id for r in vectors.collect() if r.id % 20 == 0}
     assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_query_blocks_leave_one_plan(spark, corpus, queries, vectors, monkeypatch):
+    """Hits of many blocks are one stored table: the plan is as long as for two blocks, the hits those of one."""
+    index = hybrid.build_index(corpus[0], dim=32)
+    whole = sorted(hybrid.search_hybrid(queries[0], index, 5).collect())
+    lengths = []
+    for rows in (16, 4):
+        monkeypatch.setattr(hybrid, "QUERY_BLOCK_ROWS", rows)
+        found = hybrid.search_hybrid(queries[0], index, 5)
+        lengths.append(len(found._jdf.queryExecution().optimizedPlan().toString().split("\n")))
+        assert sorted(found.collect()) == whole
+    assert lengths[0] == lengths[1]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.session import scratch_path
 
 # Scores are ranked after rounding: sums of doubles depend on their order, and equal texts must tie.
 SCORE_DECIMALS = 6
@@ -89,3 +91,21 @@ def only_among(rows: DataFrame, column: str, values: DataFrame, also: Callable[[
         return rows.join(values.select(column).distinct(), column, "left_semi")
     rows = rows.where(F.col(column).isin([v for v in few if v is not None]))
     return also(rows, few) if also else rows
+
+
+def one_table(spark: SparkSession, parts: Iterable[DataFrame], schema: str) -> DataFrame:
+    """The hits of all query blocks. A single block is passed on; several are run one after the other and added to
+    one stored table, so the driver holds one block at a time and the plan does not grow with the queries."""
+    parts = iter(parts)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if second is None:
+        return first
+    path = scratch_path(spark, "hits")
+    for part in (first, second):
+        part.write.mode("append").parquet(path)
+    del first, second
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

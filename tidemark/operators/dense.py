@@ -12,7 +12,7 @@ from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.operators.blocks import before_all, local_top_k
+from tidemark.operators.blocks import before_all, local_top_k, one_table
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize, scratch_path
 
@@ -119,13 +119,8 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFra
         place = F.pmod(F.xxhash64("query_id"), F.lit(n))
         blocks = (small.filter(place == b).toPandas() for b in range(n))
 
-    found = None
-    for block in blocks:
-        if len(block):
-            part = side.mapInPandas(_cosine_top_k(block, k), schema)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], schema)
+    parts = (side.mapInPandas(_cosine_top_k(block, k), schema) for block in blocks if len(block))
+    found = one_table(queries.sparkSession, parts, schema)
     return top_k_per_key(found, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)
 
 
@@ -207,14 +202,16 @@ def search_ann(queries: DataFrame, index: CellIndex, k: int = 10, nprobe: int =
     schema = (f"query_id {fields['query_id']}, id {fields['id']}, chunk_no {fields['chunk_no']}, score double, "
               "compared long")
     blocks = max(1, -(-small.count() // QUERY_BLOCK_ROWS))
-    found = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        block = small.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        if len(block):
-            cells = nearest_cells(np.stack(block["qvec"].tolist()), index.centres, nprobe)
-            probed = side.filter(F.col("cell").isin([int(c) for c in np.unique(cells)]))
-            found = found.unionByName(probed.select("id", "chunk_no", "vec", "day", "cell").mapInPandas(
-                _probe_top_k(block, cells, k), schema))
+
+    def parts() -> Iterator[DataFrame]:
+        for b in range(blocks):
+            block = small.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+            if len(block):
+                cells = nearest_cells(np.stack(block["qvec"].tolist()), index.centres, nprobe)
+                probed = side.filter(F.col("cell").isin([int(c) for c in np.unique(cells)]))
+                yield probed.select("id", "chunk_no", "vec", "day", "cell").mapInPandas(_probe_top_k(block, cells, k), schema)
+
+    found = one_table(spark, parts(), schema)
     counts = found.groupBy("query_id").agg(F.sum("compared").alias("compared"))
     hits = found.filter("id is not null").drop("compared")
     best = top_k_per_key(hits, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)

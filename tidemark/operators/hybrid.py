@@ -16,7 +16,7 @@ from tidemark.operators.dense import (
     DEFAULT_DIM, QUERY_BLOCK_ROWS, bucket_idf, hashed_tfidf, token_buckets, unit_tfidf,
 )
 from tidemark.operators.etl import recode_outcome
-from tidemark.operators.blocks import SCORE_CELLS, SCORE_DECIMALS, before_all, local_top_k, only_among
+from tidemark.operators.blocks import SCORE_CELLS, SCORE_DECIMALS, before_all, local_top_k, one_table, only_among
 from tidemark.operators.keyword import (
     MAX_BLOCK_TERMS, bm25_scorer, query_terms, terms_with_frequency, token_table, with_tokens,
 )
@@ -127,25 +127,26 @@ def search_hybrid(queries: DataFrame, index: SearchIndex, k: int = HITS, weight:
     schema = f"query_id {fields['query_id']}, id {fields['id']}, chunk_no {fields['chunk_no']}, score double"
     names = ["dense_low", "dense_high", "keyword_low", "keyword_high"]
 
-    found = queries.sparkSession.createDataFrame([], schema)
-    for b in range(blocks):
+    def part(b: int) -> DataFrame | None:
         vectors = encoded.filter(place == b).toPandas()
         if not len(vectors) or not n:
-            continue
+            return None
         used = terms_with_frequency(terms.filter(place == b), index.tokens).toPandas()
         score, ids, bounds = _both_sides(vectors, used, index.idf, n, mean_len)
-        parts = rows.mapInPandas(
+        seen = rows.mapInPandas(
             _score_bounds(score, ids, bounds), "query_no long, " + ", ".join(f"{c} double" for c in names))
-        least = parts.groupBy("query_no").agg(*[(F.min if c.endswith("low") else F.max)(c).alias(c) for c in names])
+        least = seen.groupBy("query_no").agg(*[(F.min if c.endswith("low") else F.max)(c).alias(c) for c in names])
         edges = least.toPandas().set_index("query_no").reindex(range(len(ids)))[names].to_numpy().T
 
-        def combined(part: pd.DataFrame, score=score, edges=edges) -> tuple[np.ndarray, np.ndarray]:
-            dense, keyword, hit = score(part)
+        def combined(chunk_rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            dense, keyword, hit = score(chunk_rows)
             total = weight * _scaled(dense, edges[0], edges[1])
             total = total + (1 - weight) * np.where(hit, _scaled(keyword, edges[2], edges[3]), 0.0)
             return total, np.ones_like(total, dtype=bool)
 
-        found = found.unionByName(rows.mapInPandas(local_top_k(combined, ids, bounds, k), schema))
+        return rows.mapInPandas(local_top_k(combined, ids, bounds, k), schema)
+
+    found = one_table(queries.sparkSession, (p for p in map(part, range(blocks)) if p is not None), schema)
     return top_k_per_key(found, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)
 
 

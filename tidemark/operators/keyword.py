@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import tokenize
-from tidemark.operators.blocks import SCORE_DECIMALS, before_all, local_top_k
+from tidemark.operators.blocks import SCORE_DECIMALS, before_all, local_top_k, one_table
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
 
@@ -74,10 +74,7 @@ def _term_blocks(queries: DataFrame) -> Iterator[DataFrame]:
         yield terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
 
 
-def _best(parts: list[DataFrame], k: int) -> DataFrame:
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+def _best(found: DataFrame, k: int) -> DataFrame:
     return top_k_per_key(found, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)
 
 
@@ -95,12 +92,13 @@ def search_keyword(queries: DataFrame, tokens: DataFrame, k: int = 10) -> DataFr
     fields = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *tokens.schema.fields]}
     schema = f"query_id {fields['query_id']}, id {fields['id']}, chunk_no {fields['chunk_no']}, score double"
 
-    parts = []
-    for terms in _term_blocks(queries):
-        block = terms_with_frequency(terms, tokens).toPandas()
-        if len(block):
-            parts.append(rows.mapInPandas(_bm25_top_k(block, n, mean_len, k), schema))
-    return _best(parts or [queries.sparkSession.createDataFrame([], schema)], k)
+    def parts() -> Iterator[DataFrame]:
+        for terms in _term_blocks(queries):
+            block = terms_with_frequency(terms, tokens).toPandas()
+            if len(block):
+                yield rows.mapInPandas(_bm25_top_k(block, n, mean_len, k), schema)
+
+    return _best(one_table(queries.sparkSession, parts(), schema), k)
 
 
 def terms_with_frequency(terms: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -169,7 +167,10 @@ def search_postings(queries: DataFrame, index: KeywordIndex, k: int = 10) -> Dat
     once, by chunk; queries are joined and scores summed inside that layout, and each task keeps its
     own ``k`` best per query, so (query, chunk) pairs never move.
     """
-    return _best([_score_block(terms, index) for terms in _term_blocks(queries)], k)
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *index.postings.schema.fields]}
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, chunk_no {kinds['chunk_no']}, score double"
+    parts = (_score_block(terms, index) for terms in _term_blocks(queries))
+    return _best(one_table(queries.sparkSession, parts, schema), k)
 
 
 def _score_block(terms: DataFrame, index: KeywordIndex) -> DataFrame:

@@ -183,6 +183,26 @@ def f11(spark, d):
     return fitted_query(spark, d, "lr")
 
 
+@query("f11_zero_gradient", """
+    SELECT 6 AS features, TRUE AS stationary FROM labels WHERE doc_id % 10 < 6 HAVING count(*) > 0""")
+def f11_gradient(spark, d):
+    """At the optimum the gradient of the penalised loss is zero: held against the data, by expressions."""
+    from pyspark.ml.functions import vector_to_array
+
+    subs = plans.collect_plan(features.plan(spark))
+    train = labelled(spark, d).filter("split = 'train' AND label IS NOT NULL")
+    fitted = models.fit("lr", train, subs)
+    matrix, names = models.design_matrix(train, fitted.plan, "lr", keep=["id", "label"])
+    rows = fitted.model.transform(matrix).select(
+        (vector_to_array("probability")[1] - F.col("label")).alias("gap"), F.posexplode(vector_to_array("features")).alias("at", "x"))
+    sums = rows.groupBy("at").agg(F.avg(F.col("gap") * F.col("x")).alias("slope"), F.avg(F.abs("x")).alias("size"),
+                                  F.count(F.lit(1)).alias("n"))
+    weights = spark.createDataFrame(list(enumerate(map(float, fitted.model.coefficients.toArray()))), "at int, weight double")
+    gradient = F.abs(F.col("slope") + F.col("weight") / F.col("n"))
+    return sums.join(weights, "at").agg(
+        F.lit(len(subs)).alias("features"), F.bool_and(gradient <= 0.001 * F.greatest("size", F.lit(1.0))).alias("stationary"))
+
+
 @query("f12_fit_forest", MODEL_SQL)
 def f12(spark, d):
     return fitted_query(spark, d, "rf")
