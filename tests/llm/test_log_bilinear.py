@@ -72,3 +72,49 @@ def test_training_beats_unigrams(spark):
                               F.col("doc_id") < 250, classes=16).collect()
     held = [r for r in rows if not r.learn]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 10
+
+
+def test_scores_do_not_depend_on_the_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    learnt = remainder("doc_id", 10) != 0
+    scores = [{r.doc_id: r.score for r in log_bilinear.score(docs.repartition(n), learnt, classes=64).collect()}
+              for n in (1, 50)]
+    assert scores[0].keys() == scores[1].keys()
+    assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-6) for i in scores[0])
+
+
+def test_words_found_twice_are_modelled(spark):
+    """Only words that training has once, or not at all, are others."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{int(j)}" for j in rng.zipf(1.5, 40) if j < 90)) for i in range(200)]
+    texts += [(500, "once"), (501, "twice twice")]
+    counts = Counter(w for _, t in texts for w in t.split())
+    words = [*sorted(counts), "unseen"]
+    probes = [(1000 + i, w) for i, w in enumerate(words)]
+    table = spark.createDataFrame(texts + probes, "doc_id long, text string")
+    learnt = F.col("doc_id") < 1000
+    rows = {r.doc_id: r for r in log_bilinear.score(table, learnt, classes=8, frequent=1000).collect()}
+    assert {w for (i, w) in probes if rows[i].n_other == 1} == {w for w in counts if counts[w] == 1} | {"unseen"}
+    hashes, times, least = log_bilinear._most_frequent(
+        table.where(learnt).select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy(
+            F.xxhash64("w").alias("word")).agg(F.count("*").alias("times")), 1000)
+    assert least == 2 and len(hashes) == sum(n > 1 for n in counts.values()) and times.sum() == sum(
+        n for n in counts.values() if n > 1)
+
+
+def test_factors_of_words_add_up_to_1_in_every_class_and_context():
+    ids = np.array([((3 * 50 + at) * 9 + near) for at in (4, 7, 30) for near in (0, 2, 7)])
+    fitted = log_bilinear._fit_class(3, ids, np.arange(1, 10), 50, 9)
+    assert list(fitted["at"][0]) == [4, 7, 30]
+    contexts, own = fitted["contexts"][0].reshape(9, -1), fitted["own"][0].reshape(3, -1)
+    inner = log_bilinear.Words(contexts[None], own, fitted["bias"][0], fitted["norm"][0][None])
+    for near in range(9):
+        logs = inner.logs(np.zeros(3, np.int64), np.full(3, near), np.arange(3))
+        assert math.isclose(np.exp(logs).sum(), 1, abs_tol=1e-5)
+
+
+def test_words_of_equal_counts_are_modelled_all_or_none(spark):
+    counts = spark.createDataFrame([(1, 5), (2, 3), (3, 3), (4, 1)], "word long, times long")
+    assert list(log_bilinear._most_frequent(counts, 2)[0]) == [1]
+    assert list(log_bilinear._most_frequent(counts, 3)[0]) == [1, 2, 3]
+    assert len(log_bilinear._most_frequent(counts, 0)[0]) == 0
