@@ -87,12 +87,13 @@ class Model:
 
 def train(model: Model, batches: Iterator[tuple[np.ndarray, np.ndarray]], share: np.ndarray, seed: int,
           least_steps: int = LEAST_STEPS) -> Model:
-    """Noise-contrastive estimation with AdaGrad over blocks of (trigrams, counts), each passed over once, or
-    as often as it takes for ``least_steps`` steps."""
+    """Noise-contrastive estimation with AdaGrad, in single precision, over blocks of (trigrams, counts), each
+    passed over once, or as often as it takes for ``least_steps`` steps."""
     rng = np.random.default_rng(seed)
-    noise_log = np.log(NOISE_PER_TOKEN * share)
+    noise_log = np.log(NOISE_PER_TOKEN * share).astype(np.float32)
     edges = np.cumsum(share)
-    square = [np.full(x.shape, 1e-2) for x in (model.vectors, model.turn, model.own, model.bias)]
+    model = Model(*(x.astype(np.float32) for x in (model.vectors, model.turn, model.own, model.bias)))
+    square = [np.full(x.shape, 1e-2, np.float32) for x in (model.vectors, model.turn, model.own, model.bias)]
 
     def step(parts: list[tuple[int, np.ndarray | None, np.ndarray]]) -> None:
         for k, rows, slope in parts:
@@ -119,7 +120,7 @@ def train(model: Model, batches: Iterator[tuple[np.ndarray, np.ndarray]], share:
         for begin in range(0, len(order), BATCH):
             at = order[begin : begin + BATCH]
             far, near, word = grams[at, 0], grams[at, 1], grams[at, 2]
-            weight = (weights[at] / weights[at].sum())[:, None]
+            weight = (weights[at] / weights[at].sum()).astype(np.float32)[:, None]
             noise = np.minimum(np.searchsorted(edges, rng.random(NOISE) * edges[-1]), len(share) - 1)
             context = model.vectors[near] @ model.turn[0] + model.vectors[far] @ model.turn[1]
             real = (context * model.own[word]).sum(axis=1) + model.bias[word] - noise_log[word]
@@ -386,7 +387,7 @@ def fit(grams: DataFrame, share: np.ndarray, size: int, rounds: int = ROUNDS) ->
             own = train(model.like(flat), read(), share, number)
             if total:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([total], pa.int64()), pa.array([own.flat()], pa.list_(pa.float64()))], ["weight", "values"])
+                    [pa.array([total], pa.int64()), pa.array([own.flat().astype(np.float64)], pa.list_(pa.float64()))], ["weight", "values"])
 
         # Tasks' parameters are added up by position, so what the driver gets has the model's size.
         sums = (grams.mapInArrow(run, "weight long, values array<double>").select("weight", F.posexplode("values"))
