@@ -85,10 +85,15 @@ class Model:
         return near, far, np.log(sums) + top[:, None] + low[None, :]
 
 
+def passes_for(steps: int, trigrams: int) -> int:
+    """How often trigrams are passed over for at least so many steps; at least once."""
+    return -(-steps * BATCH // max(trigrams, BATCH))
+
+
 def train(model: Model, batches: Iterator[tuple[np.ndarray, np.ndarray]], share: np.ndarray, seed: int,
-          least_steps: int = LEAST_STEPS) -> Model:
-    """Noise-contrastive estimation with AdaGrad, in single precision, over blocks of (trigrams, counts), each
-    passed over once, or as often as it takes for ``least_steps`` steps."""
+          passes: int) -> Model:
+    """Noise-contrastive estimation with AdaGrad, in single precision, over blocks of (trigrams, counts). A count is
+    dealt over examples of at most ``MOST_WEIGHT``."""
     rng = np.random.default_rng(seed)
     noise_log = np.log(NOISE_PER_TOKEN * share).astype(np.float32)
     edges = np.cumsum(share)
@@ -114,7 +119,6 @@ def train(model: Model, batches: Iterator[tuple[np.ndarray, np.ndarray]], share:
     for grams, counts in batches:
         times = -(-counts // MOST_WEIGHT)
         order = np.repeat(np.arange(len(counts)), times)
-        passes = -(-least_steps * BATCH // max(len(order), BATCH))
         order = np.concatenate([rng.permutation(order) for _ in range(passes)])
         weights = counts / times
         for begin in range(0, len(order), BATCH):
@@ -317,7 +321,8 @@ def _fit_class(cls: int, ids: np.ndarray, times: np.ndarray, words: int, size: i
     share /= share.sum()
     end = size - 2  # the place of the class before the nearest, which this factor does not look at
     grams = np.stack([np.full(len(ids), end), ids % size, local], axis=1)
-    model = train(Model.start(share, WORD_WIDTH, size), iter([(grams, times)]), share, cls, WORD_STEPS)
+    passes = passes_for(WORD_STEPS, int((-(-times // MOST_WEIGHT)).sum()))
+    model = train(Model.start(share, WORD_WIDTH, size), iter([(grams, times)]), share, cls, passes)
     contexts = (model.vectors @ model.turn[0] + model.vectors[end] @ model.turn[1]).astype(np.float32)
     own, bias = model.own.astype(np.float32), model.bias.astype(np.float32)
     scores = contexts.astype(np.float64) @ own.T.astype(np.float64) + bias
@@ -356,9 +361,12 @@ def fit_words(pairs: DataFrame, known: Frequent) -> Words:
 def fit(grams: DataFrame, share: np.ndarray, size: int, rounds: int = ROUNDS) -> Model:
     """Parameters from trigram counts (id, times): each task starts from the last round's mean and passes over
     its share of the counts, in blocks; the mean is weighted by tokens. There are at most ``size`` ** 3
-    trigrams, so the number of tasks is fixed."""
+    trigrams, so the number of tasks is fixed. How often a task passes over its share follows from the number of all
+    trigrams, for at least ``LEAST_STEPS`` steps of each of ``TASKS`` tasks, so the work of a round is the same over more tasks."""
     model = Model.start(share)
     spark = grams.sparkSession
+    examples = grams.agg(F.coalesce(F.sum(F.ceil(F.col("times") / MOST_WEIGHT)), F.lit(0))).first()[0]
+    passes = passes_for(LEAST_STEPS * TASKS, int(examples))
     grams = grams.repartition(TASKS, "id").sortWithinPartitions("id")  # the same rows in the same order at any layout
     for number in range(rounds):
         now = spark.sparkContext.broadcast((model.flat(), number))
@@ -384,7 +392,7 @@ def fit(grams: DataFrame, share: np.ndarray, size: int, rounds: int = ROUNDS) ->
                 ids, times = (np.concatenate([x[i] for x in held]) for i in (0, 1))
                 return np.stack([ids // size**2, ids // size % size, ids % size], axis=1), times
 
-            own = train(model.like(flat), read(), share, number)
+            own = train(model.like(flat), read(), share, number, passes)
             if total:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([total], pa.int64()), pa.array([own.flat().astype(np.float64)], pa.list_(pa.float64()))], ["weight", "values"])
