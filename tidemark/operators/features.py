@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.lists import is_subset
 from tidemark.functions.text import strip_quotes, to_boolean, to_digits, to_float
-from tidemark.plans.feature_plan import SubFeature, bounded_plan
+from tidemark.plans.feature_plan import SubFeature, sized_plan
 
 # Patterns of the multi-categorical rule, applied after every string became "".
 # Possessive and unrolled, so that long texts do not overflow the stack.
@@ -68,22 +68,24 @@ def _typed(kind: Column, text: Column, allowed: Column, lenient_float: bool) ->
 
 def _tag(values: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with their plan entry; rows of features outside the group's plan get a null ``feature``."""
-    subs = bounded_plan(plan)
-    planned = F.broadcast(subs.select("group_no", "feature").distinct().withColumn("planned", F.lit(True)))
-    known = values.join(planned, ["group_no", "feature"], "left").withColumn(
+    subs, small = sized_plan(plan)
+    hinted = F.broadcast if small else lambda df: df
+    planned = subs.select("group_no", "feature").distinct().withColumn("planned", F.lit(True))
+    known = values.join(hinted(planned), ["group_no", "feature"], "left").withColumn(
         "feature", F.when(F.col("planned"), F.col("feature"))
     )
-    tagged = known.join(F.broadcast(subs), ["group_no", "feature", "sub"], "left")
+    tagged = known.join(hinted(subs), ["group_no", "feature", "sub"], "left")
     return tagged.withColumn("text", _clean(F.col("raw")))
 
 
 def _plan_groups(plan: DataFrame) -> DataFrame:
     """One row per group: its sub-features and its number of features."""
     entries = F.collect_list(F.struct("feature", "sub", "type"))
-    grouped = bounded_plan(plan).groupBy("group_no").agg(
+    subs, small = sized_plan(plan)
+    grouped = subs.groupBy("group_no").agg(
         entries.alias("subs"), F.count_distinct("feature").alias("n_features")
     )
-    return F.broadcast(grouped)
+    return F.broadcast(grouped) if small else grouped
 
 
 def _checked_rows(checked: DataFrame, plan: DataFrame, fails: Column, v_type: str, whole_group: bool) -> DataFrame:

@@ -26,7 +26,7 @@ PLAN_SCHEMA = (
 
 SUB_SCHEMA = "group_no int, feature string, sub string, type string, possible_values array<string>"
 
-# A plan becomes columns, so it has to stay small; larger plans are an error, not a slow job.
+# Most sub-features of a plan that becomes columns or is broadcast; larger ones take the long form and plain joins.
 MAX_PLAN_ROWS = 5_000
 
 
@@ -55,17 +55,28 @@ def local_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
 
 def collect_plan(plan: DataFrame) -> list[SubFeature]:
     """The plan on the driver, in (group, feature, sub) order, refused when above its size bound."""
+    subs = small_plan(plan)
+    if subs is None:
+        raise ValueError(f"a wide plan may have at most {MAX_PLAN_ROWS} sub-features; operators.long_matrix takes larger ones")
+    return subs
+
+
+def small_plan(plan: DataFrame) -> list[SubFeature] | None:
+    """As ``collect_plan``, or nothing for a plan above the bound."""
     rows = plan.select(*SubFeature._fields).limit(MAX_PLAN_ROWS + 1).collect()
     if len(rows) > MAX_PLAN_ROWS:
-        raise ValueError(f"a plan may have at most {MAX_PLAN_ROWS} sub-features")
+        return None
     subs = [SubFeature(r[0], r[1], r[2], r[3], tuple(r[4] or ())) for r in rows]
     return sorted(subs, key=lambda s: (s.group_no if s.group_no is not None else -1, s.feature, s.sub))
 
 
-def bounded_plan(plan: DataFrame) -> DataFrame:
-    """The plan as a local table that may be broadcast, as its size has been checked."""
-    subs = collect_plan(plan)
-    return local_table(plan.sparkSession, [s._asdict() | {"possible_values": list(s.possible_values)} for s in subs], SUB_SCHEMA)
+def sized_plan(plan: DataFrame) -> tuple[DataFrame, bool]:
+    """The plan's sub-features, and whether they may be broadcast: as a local table if small, else as they are."""
+    subs = small_plan(plan)
+    if subs is None:
+        return plan.select(*SubFeature._fields), False
+    rows = [s._asdict() | {"possible_values": list(s.possible_values)} for s in subs]
+    return local_table(plan.sparkSession, rows, SUB_SCHEMA), True
 
 
 def check_plan(types: DataFrame, values: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import is_subset
-from tidemark.operators import features as ops
+from tidemark.operators import features as ops, long_matrix
 from tidemark.plans import feature_plan as plans
 from tidemark.queries.registry import query, table
 
@@ -164,6 +164,51 @@ def f10(spark, d):
     )
 
 
+@query("f10_long_matrix", f"""
+    WITH {BASE_SQL}, entries AS (
+      SELECT id, 0 AS position, size_chars AS x FROM wide
+      {"".join(f"UNION ALL SELECT id, {p}, CAST(language_lang = '{v}' AS INT)::DOUBLE FROM wide " for p, v in enumerate(LANGS, -4))}
+      {"".join(f"UNION ALL SELECT id, {p}, len(list_filter(flags_tags, lambda x: x = '{v}'))::DOUBLE FROM wide " for p, v in enumerate(TAGS, 1))}
+      UNION ALL SELECT id, 5, shape_avg_word FROM wide UNION ALL SELECT id, 6, shape_has_digit FROM wide
+      UNION ALL SELECT id, 7, density_ratio FROM wide)
+    SELECT id, CAST(position + 4 AS INT) AS position, x FROM entries WHERE x <> 0""")
+def f10_long(spark, d):
+    inputs = long_matrix.input_table(plan(spark))
+    found = long_matrix.entries(coerced(spark, d), inputs)
+    return found.filter("position is not null").select("id", "position", "x")
+
+
+def part_quantities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Per customer, the largest quantity of every part that they ordered: a plan as long as the part table, and its values."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("feature"))
+    subs = parts.select(
+        F.lit(0).alias("group_no"), "feature", F.col("l_partkey").cast("string").alias("sub"), F.lit("float").alias("type"),
+        F.lit(None).cast("array<string>").alias("possible_values"))
+    lines = table(spark, d, "lineitem").join(parts, "l_partkey")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
+    values = lines.join(orders, "l_orderkey").select(
+        "id", "feature", F.col("l_partkey").cast("string").alias("sub"), F.col("l_quantity").cast("double").alias("num"),
+        F.lit(None).cast("string").alias("txt"), F.lit(None).cast("array<string>").alias("items"))
+    return subs, values
+
+
+@query("f10_large_plan", """
+    WITH inputs AS (SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey::VARCHAR) - 1 AS position FROM part),
+    one AS (SELECT o_custkey AS id, l_partkey, max(l_quantity)::DOUBLE AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+    SELECT id, (SELECT count(*)::INT FROM part) AS n_inputs, count(*)::INT AS n_entries, sum(position)::BIGINT AS positions,
+      sum(x * (position % 7))::DOUBLE AS mixed FROM one JOIN inputs ON l_partkey = p_partkey WHERE x <> 0 GROUP BY 1""")
+def f10_large(spark, d):
+    """Sparse vectors over one input per part, read back from the vectors themselves."""
+    subs, values = part_quantities(spark, d)
+    matrix = long_matrix.sparse_matrix(values, long_matrix.input_table(subs))
+    v = F.unwrap_udt("features")
+    mixed = F.aggregate(
+        F.zip_with(v["indices"], v["values"], lambda p, x: x * (p % 7)), F.lit(0.0), lambda a, x: a + x)
+    positions = F.aggregate(v["indices"], F.lit(0).cast("long"), lambda a, p: a + p)
+    return matrix.select(
+        "id", v["size"].alias("n_inputs"), F.size(v["indices"]).alias("n_entries"), positions.alias("positions"), mixed.alias("mixed"))
+
+
 @query("p16_drop_feature", f"""
     WITH {VALUES_SQL} SELECT t.id, feature, sub, num, txt, size_chars AS "size--chars" FROM typed t JOIN wide USING (id) WHERE feature <> 'flags'""")
 def p16(spark, d):
