@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import metrics, models, topk
+from tidemark.operators import boosting, metrics, models, topk
 from tidemark.plans import feature_plan as plans
 from tidemark.queries import features
 from tidemark.queries.registry import query, table
@@ -213,6 +213,25 @@ def f13(spark, d):
     return fitted_query(spark, d, "xgb")
 
 
+@query("f13_gap_branch", f"""
+    WITH {features.BASE_SQL},
+    known AS (SELECT density_ratio, shape_has_digit, (0.5 - quality)::DOUBLE AS g FROM wide JOIN labels ON id = doc_id WHERE quality IS NOT NULL),
+    long AS (SELECT 0 AS f, 'density--ratio' AS feature, density_ratio AS x, g FROM known
+      UNION ALL SELECT 1, 'shape--has_digit', shape_has_digit, g FROM known),
+    edges AS (SELECT DISTINCT f, feature, x AS edge FROM long WHERE x IS NOT NULL),
+    sides AS (SELECT f, e.feature, edge, gap_left, sum(g) AS g, count(*) / 4 AS h,
+        sum(CASE WHEN coalesce(x <= edge, gap_left) THEN g ELSE 0 END) AS gl, sum(CASE WHEN coalesce(x <= edge, gap_left) THEN 1 ELSE 0 END) / 4 AS hl
+      FROM edges e JOIN long l USING (f), (VALUES (TRUE), (FALSE)) s(gap_left) GROUP BY ALL)
+    SELECT feature, edge, gap_left, round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1), 6)::DOUBLE AS gain
+    FROM sides WHERE hl >= 1 AND h - hl >= 1
+    ORDER BY round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1), 9) DESC, f, edge, gap_left DESC LIMIT 1""")
+def f13_gaps(spark, d):
+    """The first split of boosted trees over two features with gaps: its edge, and the side on which gaps go."""
+    names = ["density--ratio", "shape--has_digit"]
+    rows = labelled(spark, d).select(F.array(*[F.col(f"`{n}`") for n in names]).alias("features"), "label")
+    return rounded(boosting.splits(spark, boosting.fit(rows, names, trees=1, depth=1)), "gain").drop("tree", "node")
+
+
 @query("f14_score", """
     SELECT CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n,
       TRUE AS in_range, TRUE AS consistent FROM documents GROUP BY 1""")
