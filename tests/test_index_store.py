@@ -134,3 +134,39 @@ def test_stream_restarts_where_it_stopped(spark, corpus, queries, expected):
     ingest.stream_segments(stream(), path, checkpoint)
     index_store.merge(spark, path)
     assert hits(index_store.search_stored(queries, index_store.load(spark, path), 5)) == expected
+
+
+def test_a_range_sends_only_its_best(spark, stored, queries):
+    index = index_store.load(spark, stored)
+    plan = index_store.plan_reads(queries, index)
+    order = [F.desc("score"), F.asc("id"), F.asc("chunk_no")]
+    everything, few = (index_store._scores(plan.bounds, plan, index.mean_len, k) for k in (None, 2))
+    assert few.count() < everything.count()
+    assert hits(index_store.top_k_per_key(few, ["query_id"], order, 2)) == hits(index_store.top_k_per_key(everything, ["query_id"], order, 2))
+
+
+def test_queries_are_dealt_out_when_their_terms_are_many(spark, stored, queries, expected, monkeypatch):
+    monkeypatch.setattr(index_store, "MAX_BLOCK_TERMS", 20)
+    assert hits(index_store.search_stored(queries, index_store.load(spark, stored), 5)) == expected
+
+
+def test_texts_are_put_in_order_before_they_are_cut(spark, corpus, monkeypatch):
+    plans = []
+    monkeypatch.setattr(index_store, "_write_ordered", lambda rows, *a: plans.append(rows._jdf.queryExecution().toString()) or (0, 0, []))
+    index_store.append(corpus, scratch_path(spark, "index"))
+    plan = plans[0].split("== Physical Plan ==")[1]
+    assert plan.index("Generate") < plan.index("rangepartitioning")
+
+
+def test_a_range_that_two_tasks_read_counts_once(spark, corpus, queries, expected, monkeypatch):
+    path = scratch_path(spark, "index")
+    rows = index_store._build_blocks
+
+    def torn(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 3):
+                yield from rows(iter([batch.slice(at, 3)]))
+
+    monkeypatch.setattr(index_store, "_build_blocks", torn)
+    index_store.append(corpus, path, range_bits=4)
+    assert hits(index_store.search_stored(queries, index_store.load(spark, path), 5)) == expected

@@ -15,17 +15,23 @@ the log does not exist, so a writer that is killed leaves nothing behind. One wr
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.operators.blocks import SCORE_DECIMALS, latest_day, only_among
+from tidemark.operators.blocks import SCORE_CELLS, SCORE_DECIMALS, latest_day, only_among
 from tidemark.operators.chunking import DEFAULT_MAX_CHARS, chunk
 from tidemark.operators.dense import DEFAULT_DIM, hashed_tfidf, token_buckets
 from tidemark.operators.hybrid import HITS, SearchIndex
-from tidemark.operators.keyword import bm25_idf, bm25_weight, query_terms, token_table, with_tokens
+from tidemark.operators.keyword import (
+    BM25_B, BM25_K1, MAX_BLOCK_TERMS, bm25_idf, bm25_weight, query_terms, token_table, with_tokens,
+)
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
 
@@ -36,6 +42,7 @@ FIRST_RANGES = 2
 LOG = ("version int, action string, segment string, n_chunks long, total_len long, bucket_rows array<long>, "
        "max_chars int, dim int, range_bits int")
 PLACE = ["segment", "range"]
+ENTRY = ["id", "chunk_no", "day", "doc_len", "tf"]
 
 
 class StoredIndex(NamedTuple):
@@ -89,24 +96,72 @@ def _term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
+def _blocks_of_ranges(range_rows: pa.Table) -> pa.RecordBatch:
+    """The blocks of the rows of one range: an entry per chunk and term, entries in the order of the chunks."""
+    key = range_rows.select(["id", "chunk_no", "day", "doc_len"]).combine_chunks()
+    tokens = range_rows["tokens"].combine_chunks()
+    sizes = pc.list_value_length(tokens).fill_null(0).to_numpy()
+    words = tokens.flatten().dictionary_encode()
+    groups = key.to_pandas().groupby(key.column_names, dropna=False, sort=False).ngroup().to_numpy()
+    first = np.unique(groups, return_index=True)[1]  # rows that agree in all of these count as one chunk
+    cells = words.indices.to_numpy().astype(np.int64) * len(first) + np.repeat(groups, sizes)
+    cells, tf = np.unique(cells, return_counts=True)
+    term, group = np.divmod(cells, max(1, len(first)))
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    row = first[group]
+    entry = [key[c].combine_chunks().take(pa.array(row)) for c in key.column_names] + [pa.array(tf, pa.int32())]
+    entries = pa.StructArray.from_arrays(entry, ENTRY)
+    at = key["doc_len"].to_numpy()[row], key["day"].to_numpy()[row]
+    least = [pa.array(np.minimum.reduceat(x, starts) if len(starts) else x, pa.int32()) for x in at]
+    most = pa.array(np.maximum.reduceat(tf, starts) if len(starts) else tf, pa.int32())
+    bounds = np.append(starts, len(term)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(len(starts), range_rows["range"][0].as_py()), pa.int64()), words.dictionary.take(pa.array(term[starts])),
+        pa.array(np.diff(bounds), pa.int64()), most, *least, pa.ListArray.from_arrays(pa.array(bounds), entries),
+    ], ["range", "term", "df", "max_tf", "min_len", "min_day", "entries"])
+
+
+def _build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batch function over stored chunks. Rows of a range follow each other, so a task holds one range at a time; a range that is
+    read by two tasks gets two blocks per term, whose bounds and entries add up."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        ranges = batch.column("range").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            if held and held[0].column("range")[0].as_py() != ranges[start]:
+                yield _blocks_of_ranges(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield _blocks_of_ranges(pa.Table.from_batches(held))
+
+
+def _in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def _write_segment(rows: DataFrame, path: str, segment: str, dim: int, range_bits: int) -> tuple:
     """Writes the chunks and blocks of a segment, over what an earlier attempt left; returns its statistics."""
+    return _write_ordered(_in_order(rows, ["doc_date", "id", "chunk_no"]), path, segment, dim, range_bits)
+
+
+def _write_ordered(rows: DataFrame, path: str, segment: str, dim: int, range_bits: int) -> tuple:
+    """As ``_write_segment``, for rows in date order within partitions that follow each other."""
     spark = rows.sparkSession
-    order = ["doc_date", "id", "chunk_no"]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumn("range", F.shiftright(F.monotonically_increasing_id(), range_bits))
+    placed = rows.withColumn("range", F.shiftright(F.monotonically_increasing_id(), range_bits))
     where = f"{path}/chunks/segment={segment}"
     placed.write.mode("overwrite").parquet(where)
     chunks = spark.read.schema(placed.schema).parquet(where)
 
-    # One exchange, by range: terms are counted and collected inside that layout, at most 2 ** range_bits a block.
-    terms = chunks.select("range", "id", "chunk_no", F.unix_date("doc_date").alias("day"), F.size("tokens").alias("doc_len"),
-                          "tokens").repartition("range")
-    terms = terms.select("range", "id", "chunk_no", "day", "doc_len", F.explode("tokens").alias("term"))
-    counted = terms.groupBy("range", "id", "chunk_no", "day", "doc_len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    blocks = counted.groupBy("range", "term").agg(
-        F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"),
-        F.min("day").alias("min_day"), F.collect_list(F.struct("id", "chunk_no", "day", "doc_len", "tf")).alias("entries"))
+    # Terms are counted where a range lies, at most 2 ** range_bits chunks at a time; only finished blocks are shuffled.
+    read = chunks.select("range", "id", "chunk_no", F.unix_date("doc_date").alias("day"), F.size("tokens").alias("doc_len"), "tokens")
+    kinds = {f.name: f.dataType.simpleString() for f in read.schema.fields}
+    entry = ", ".join(f"{c}: {kinds.get(c, 'int')}" for c in ENTRY)
+    blocks = read.mapInArrow(
+        _build_blocks, f"range long, term string, df long, max_tf int, min_len int, min_day int, entries array<struct<{entry}>>")
     blocks = blocks.withColumn("term_bucket", _term_bucket(F.col("term")))
     (blocks.repartition("term_bucket", F.shiftright("range", 6)).sortWithinPartitions("term_bucket", "term", "range")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/blocks/segment={segment}"))
@@ -137,8 +192,10 @@ def append(
     if log:
         max_chars, dim, range_bits = (log[0][c] for c in ("max_chars", "dim", "range_bits"))
     dated = corpus.select("id", "doc_date", "text").dropna(subset=["doc_date"])
-    rows = with_tokens(chunk(dated, "text", max_chars)).withColumn("buckets", token_buckets(F.col("tokens"), dim))
-    stats = _write_segment(rows, path, segment, dim, range_bits)
+    # Texts are put in order before they are cut: the exchange and its sampling pass see whole texts and nothing derived.
+    rows = with_tokens(chunk(_in_order(dated, ["doc_date", "id"]), "text", max_chars))
+    rows = rows.withColumn("buckets", token_buckets(F.col("tokens"), dim))
+    stats = _write_ordered(rows, path, segment, dim, range_bits)
     _commit(spark, path, [(version + 1, "add", segment, *stats, max_chars, dim, range_bits)])
     return version + 1
 
@@ -204,14 +261,80 @@ def plan_reads(queries: DataFrame, index: StoredIndex) -> ReadPlan:
     return ReadPlan(weights, blocks, bounds)
 
 
-def _scores(pairs: DataFrame, plan: ReadPlan, mean_len: float) -> DataFrame:
-    """Scores of the chunks in the given (query_id, segment, range)."""
+def _score_ranges(mean_len: float, k: int | None):
+    """Function from the weights and the blocks of one range to the scores of its chunks; with ``k``, only of those
+    among the ``k`` best of a query there, and of what ties with them."""
+
+    def run(wanted: pa.Table, read: pa.Table) -> pa.Table:
+        lists = read["entries"].combine_chunks()
+        flat = lists.flatten()
+        key = pd.DataFrame({c: flat.field(c).to_pandas() for c in ENTRY[:-1]})
+        place = key.groupby(ENTRY[:-1], dropna=False, sort=False).ngroup().to_numpy()
+        first = np.unique(place, return_index=True)[1]
+        chunks = key.iloc[first].reset_index(drop=True)
+        same = chunks.groupby(["id", "chunk_no"], dropna=False, sort=False).ngroup().to_numpy()
+        kept = np.unique(same, return_index=True)[1]
+        tf, doc_len = flat.field("tf").to_numpy(), key["doc_len"].to_numpy(dtype=np.float64)
+        weight = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * doc_len / mean_len))
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        days = chunks["day"].to_numpy(dtype=np.float64)
+
+        asked = wanted.select(["query_id", "as_of_day", "term", "idf"]).to_pandas()
+        vocabulary = pd.Index(read["term"].to_pandas()).unique()
+        asked["term_no"] = vocabulary.get_indexer(asked["term"])
+        asked["query_no"], names = pd.factorize(asked["query_id"], use_na_sentinel=False)
+        asked = asked[asked["term_no"] >= 0].sort_values(["term_no", "query_no"])
+        block_terms = vocabulary.get_indexer(read["term"].to_pandas())
+        step, found = max(1, SCORE_CELLS // max(1, len(first))), []
+        for low in range(0, len(names), step):
+            part = asked[(asked["query_no"] >= low) & (asked["query_no"] < low + step)]
+            n = min(step, len(names) - low)
+            query, idf = part["query_no"].to_numpy() - low, part["idf"].to_numpy()
+            starts = np.searchsorted(part["term_no"].to_numpy(), np.arange(len(vocabulary) + 1))
+            scores = np.zeros((n, len(first)))
+            for block, term in enumerate(block_terms):
+                uses = slice(starts[term], starts[term + 1])
+                own = slice(ends[block - 1] if block else 0, ends[block])
+                # The chunks of a block differ, and so do the queries of a term: every cell is added to once.
+                scores[query[uses, None], place[own]] += idf[uses, None] * weight[own]
+            bound = np.full(n, np.inf)
+            bound[query] = part["as_of_day"].astype("float64").fillna(np.inf).to_numpy()
+            scores[~((days < bound[:, None]) | np.isinf(bound)[:, None])] = 0.0
+            if len(kept) < len(first):  # chunks of one name count together
+                scores, apart = np.zeros((n, len(kept))), scores
+                np.add.at(scores.T, same, apart.T)
+            mask = scores > 0
+            if k is not None and len(kept) > k:
+                floor = np.partition(scores, len(kept) - k, axis=1)[:, [len(kept) - k]]
+                mask &= scores >= floor - 10.0**-SCORE_DECIMALS
+            rows, cells = np.nonzero(mask)
+            found.append((rows + low, kept[cells], scores[rows, cells]))
+        rows, cells, values = (np.concatenate([f[i] for f in found]) if found else np.array([], dtype=np.int64) for i in range(3))
+        ids = wanted["query_id"].combine_chunks().take(pa.array(np.unique(pd.factorize(
+            wanted["query_id"].to_pandas(), use_na_sentinel=False)[0], return_index=True)[1]))
+        at = pa.array(first[cells])
+        return pa.table({"query_id": ids.take(pa.array(rows)), "id": flat.field("id").take(at),
+                         "chunk_no": flat.field("chunk_no").take(at), "score": pa.array(values, pa.float64())})
+
+    return run
+
+
+def _scores(pairs: DataFrame, plan: ReadPlan, mean_len: float, k: int | None = None) -> DataFrame:
+    """Scores of the chunks in the given (query_id, segment, range), or only what may be among the ``k`` best of a query.
+
+    Weights and blocks of a range meet in one task, with at most about ``MAX_BLOCK_TERMS`` weights at a time, and
+    (query, chunk) pairs stay there: what is shuffled on is queries x ranges x k rows.
+    """
+    deals = max(1, -(-plan.weights.count() // MAX_BLOCK_TERMS))
     wanted = pairs.select("query_id", *PLACE).join(plan.weights, "query_id")
+    wanted = wanted.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(deals)))
     read = only_among(plan.blocks, "range", pairs).select(*PLACE, "term", "entries")
-    entries = wanted.join(read, [*PLACE, "term"]).select("query_id", "as_of_day", "idf", F.inline("entries"))
-    seen = entries.where("as_of_day IS NULL OR day < as_of_day")
-    weight = F.col("idf") * bm25_weight(F.col("tf"), F.col("doc_len"), F.lit(mean_len))
-    return seen.groupBy("query_id", "id", "chunk_no").agg(F.round(F.sum(weight), SCORE_DECIMALS).alias("score"))
+    read = read.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)).cast("array<bigint>")))
+    kinds = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
+    entry = {f.name: f.dataType.simpleString() for f in read.schema["entries"].dataType.elementType.fields}
+    schema = f"query_id {kinds['query_id']}, id {entry['id']}, chunk_no {entry['chunk_no']}, score double"
+    found = wanted.groupBy(*PLACE, "deal").cogroup(read.groupBy(*PLACE, "deal")).applyInArrow(_score_ranges(mean_len, k), schema)
+    return found.groupBy("query_id", "id", "chunk_no").agg(F.round(F.sum("score"), SCORE_DECIMALS).alias("score"))
 
 
 def first_ranges(plan: ReadPlan) -> DataFrame:
@@ -233,7 +356,7 @@ def search_stored(queries: DataFrame, index: StoredIndex, k: int = HITS) -> Data
     order = [F.desc("score"), F.asc("id"), F.asc("chunk_no")]
     plan = plan_reads(queries, index)
     first = materialize(first_ranges(plan), "ranges")
-    best = materialize(top_k_per_key(_scores(first, plan, index.mean_len), ["query_id"], order, k), "hits")
+    best = materialize(top_k_per_key(_scores(first, plan, index.mean_len, k), ["query_id"], order, k), "hits")
     rest = materialize(further_ranges(plan, first, best, k), "ranges")
-    found = best.drop("rank").unionByName(_scores(rest, plan, index.mean_len))
+    found = best.drop("rank").unionByName(_scores(rest, plan, index.mean_len, k))
     return top_k_per_key(found, ["query_id"], order, k)
