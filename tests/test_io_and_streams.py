@@ -79,3 +79,42 @@ def test_people_lists(spark):
     )
     got = [r[0] for r in df.select(concat_people(F.col("n"), F.col("f"), "string")).collect()]
     assert got == [["i", "j", "a"], ["a"], ["i"], []]
+
+
+def test_micro_batches_come_in_many_files_and_keep_keys_together(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.queries import incremental
+
+    rows = spark.range(3000).select((F.col("id") % 400).alias("key"), F.lit("x").alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        stream = incremental.arriving(rows, "key")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    store, batches = scratch_path(spark, "store"), []
+
+    def keep(batch, n):
+        batches.append(len(batch.inputFiles()))
+        batch.withColumn("file", F.input_file_name()).write.mode("overwrite").parquet(f"{store}/batch_id={n}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.parquet(store)
+    assert stored.count() == 3000 and stored.select("batch_id").distinct().count() >= 3
+    assert stored.select("file").distinct().count() == 12
+    assert stored.groupBy("key").agg(F.countDistinct("file").alias("n")).where("n > 1").isEmpty()
+
+
+def test_keyed_stream_comes_in_many_files(spark, sf_dir, monkeypatch):
+    from tidemark.queries import incremental
+
+    seen = []
+    read = incremental.ingest.read_stream
+
+    def counted(session, path, *a, **b):
+        seen.append(len(session.read.parquet(path).inputFiles()))
+        return read(session, path, *a, **b)
+
+    monkeypatch.setattr(incremental.ingest, "read_stream", counted)
+    assert incremental.st1_keyed(spark, sf_dir).count() > 0
+    assert seen == [4, 8, 12]

@@ -12,12 +12,18 @@ from tidemark.sources import keyed
 from tidemark.streaming import ingest
 
 
-def arriving(df: DataFrame, key: str, files: int = 3) -> DataFrame:
-    """The rows as a file stream of one file per micro-batch."""
+def shuffle_tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def arriving(df: DataFrame, key: str, batches: int = 3) -> DataFrame:
+    """The rows as a file stream of so many micro-batches, or a few more if some files are empty. All rows of a key are in
+    one file, so in one batch; a batch has as many files as the session's shuffles have tasks for it."""
     spark = df.sparkSession
     path = scratch_path(spark, "arriving")
-    df.repartition(files, key).write.parquet(path)
-    return ingest.read_stream(spark, path, df.schema, files_per_batch=1)
+    df.repartition(batches * -(-shuffle_tasks(spark) // batches), key).write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return ingest.read_stream(spark, path, df.schema, files_per_batch=max(1, files // batches))
 
 
 @query("st1_stream_upsert", "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
@@ -37,10 +43,12 @@ def st1_keyed(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     files, checkpoint = scratch_path(spark, "arriving"), scratch_path(spark, "checkpoint")
     store = keyed.KeyedStore(scratch_path(spark, "keyed"), "l_orderkey", 16)
+    n = shuffle_tasks(spark)
     for part in range(3):
-        rows.where(F.col("l_linenumber") % 3 == part).coalesce(1).write.mode("append").parquet(files)
+        rows.where(F.col("l_linenumber") % 3 == part).repartition(n).write.mode("append").parquet(files)
+        # What has come since the last drain is one micro-batch, whose number is that of the part.
+        ingest.stream_keyed(ingest.read_stream(spark, files, rows.schema, files_per_batch=n), store, checkpoint)
         if part:
-            ingest.stream_keyed(ingest.read_stream(spark, files, rows.schema, files_per_batch=1), store, checkpoint)
             keyed.compact(spark, store)
     keyed.upsert_keyed(rows.where("l_linenumber % 3 = 1"), store, "batch-1")
     return keyed.read_keyed(spark, store)
