@@ -1,11 +1,14 @@
 """Chunking and search against brute force on small fixtures."""
 
+import collections
 import datetime as dt
 import math
 import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +192,30 @@ def test_query_blocks_leave_one_plan(spark, corpus, queries, vectors, monkeypatc
         lengths.append(len(found._jdf.queryExecution().optimizedPlan().toString().split("\n")))
         assert sorted(found.collect()) == whole
     assert lengths[0] == lengths[1]
+
+
+def test_tasks_take_few_rows_with_token_lists_at_a_time(spark):
+    rows = spark.range(5000).coalesce(1).selectExpr("id", "array('a', 'b') AS tokens")
+
+    def run(parts):
+        for part in parts:
+            yield pd.DataFrame({"n": [len(part)], "name": [part["tokens"].iloc[0][1]]})
+
+    found = [tuple(r) for r in blocks.map_parts(rows, run, "n int, name string").collect()]
+    assert sum(n for n, _ in found) == 5000 and max(n for n, _ in found) <= blocks.PART_ROWS
+    assert {name for _, name in found} == {"b"}
+
+
+def test_postings_are_counted_without_a_table_of_all_of_them(spark):
+    """Rows of one chunk count together, null keys too, wherever a batch or a part of it ends."""
+    rng = random.Random(3)
+    rows = [(i // 3 if i > 6 else None, 0, None, 2, [rng.choice("abcd") for _ in range(2)] if i % 5 else []) for i in range(60)]
+    kind = pa.schema([("id", pa.int64()), ("chunk_no", pa.int32()), ("doc_date", pa.date32()), ("doc_len", pa.int32()), ("tokens", pa.list_(pa.string()))])
+    table = pa.Table.from_pylist([dict(zip(kind.names, r)) for r in rows], kind)
+    expected = collections.Counter((r[0], t) for r in rows for t in r[4])
+    for size in (1, 2, 7, 60):
+        found = pa.Table.from_batches(keyword._count_terms(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+        assert {(r["id"], r["term"]): r["tf"] for r in found} == expected and len(found) == len(expected)
+    df = spark.createDataFrame(rows, "id long, chunk_no int, doc_date date, doc_len int, tokens array<string>")
+    assert {(r["id"], r["term"]): r["tf"] for r in keyword.build_postings(df).collect()} == expected
+    assert "HashAggregate" not in keyword.build_postings(df)._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.session import scratch_path
 
@@ -14,10 +16,26 @@ from tidemark.session import scratch_path
 SCORE_DECIMALS = 6
 SCORE_CELLS = 4_000_000
 
+# Rows with token lists that a Python worker holds as Python objects at a time.
+PART_ROWS = 1024
+
 # Up to so many values are written into a scan's filter.
 PUSHED_VALUES = 1000
 
 
+def map_parts(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """As ``mapInPandas``, but a task turns only ``PART_ROWS`` rows at a time to pandas, however many a batch has: a list of
+    strings takes many times its Arrow size there."""
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.slice(at, PART_ROWS).to_pandas() for b in batches for at in range(0, b.num_rows, PART_ROWS))
+        for found in run(parts):
+            yield pa.RecordBatch.from_pandas(found, schema=out, preserve_index=False)
+
+    return rows.mapInArrow(convert, schema)
+
+
 class _Best:
     """The best ``k`` hits per query seen so far in one task, and the score a new hit has to reach."""
 

@@ -16,7 +16,9 @@ from tidemark.operators.dense import (
     DEFAULT_DIM, QUERY_BLOCK_ROWS, bucket_idf, hashed_tfidf, token_buckets, unit_tfidf,
 )
 from tidemark.operators.etl import recode_outcome
-from tidemark.operators.blocks import SCORE_CELLS, SCORE_DECIMALS, before_all, local_top_k, one_table, only_among
+from tidemark.operators.blocks import (
+    SCORE_CELLS, SCORE_DECIMALS, before_all, local_top_k, map_parts, one_table, only_among,
+)
 from tidemark.operators.keyword import (
     MAX_BLOCK_TERMS, bm25_scorer, query_terms, terms_with_frequency, token_table, with_tokens,
 )
@@ -133,8 +135,7 @@ def search_hybrid(queries: DataFrame, index: SearchIndex, k: int = HITS, weight:
             return None
         used = terms_with_frequency(terms.filter(place == b), index.tokens).toPandas()
         score, ids, bounds = _both_sides(vectors, used, index.idf, n, mean_len)
-        seen = rows.mapInPandas(
-            _score_bounds(score, ids, bounds), "query_no long, " + ", ".join(f"{c} double" for c in names))
+        seen = map_parts(rows, _score_bounds(score, ids, bounds), "query_no long, " + ", ".join(f"{c} double" for c in names))
         least = seen.groupBy("query_no").agg(*[(F.min if c.endswith("low") else F.max)(c).alias(c) for c in names])
         edges = least.toPandas().set_index("query_no").reindex(range(len(ids)))[names].to_numpy().T
 
@@ -144,7 +145,7 @@ def search_hybrid(queries: DataFrame, index: SearchIndex, k: int = HITS, weight:
             total = total + (1 - weight) * np.where(hit, _scaled(keyword, edges[2], edges[3]), 0.0)
             return total, np.ones_like(total, dtype=bool)
 
-        return rows.mapInPandas(local_top_k(combined, ids, bounds, k), schema)
+        return map_parts(rows, local_top_k(combined, ids, bounds, k), schema)
 
     found = one_table(queries.sparkSession, (p for p in map(part, range(blocks)) if p is not None), schema)
     return top_k_per_key(found, ["query_id"], [F.desc("score"), F.asc("id"), F.asc("chunk_no")], k)

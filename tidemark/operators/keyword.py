@@ -7,10 +7,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import tokenize
-from tidemark.operators.blocks import SCORE_DECIMALS, before_all, local_top_k, one_table
+from tidemark.operators.blocks import (
+    PART_ROWS, SCORE_CELLS, SCORE_DECIMALS, before_all, local_top_k, map_parts, one_table,
+)
 from tidemark.operators.topk import top_k_per_key
 from tidemark.session import materialize
 
@@ -40,18 +44,54 @@ def token_table(chunks: DataFrame) -> DataFrame:
     return with_tokens(chunks).select(*CHUNK_KEY, "doc_date", F.size("tokens").alias("doc_len"), "tokens")
 
 
+def _posting_rows(part: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Postings of rows in the order of their keys, and the row at which each one's key begins."""
+    key = part.select([c for c in part.column_names if c != "tokens"])
+    tokens = part["tokens"].combine_chunks()
+    words = tokens.flatten().dictionary_encode()
+    named = key.to_pandas().groupby(key.column_names, dropna=False, sort=False).ngroup().to_numpy()
+    first = np.unique(named, return_index=True)[1]
+    rows = np.repeat(first[named], pc.list_value_length(tokens).fill_null(0).to_numpy())
+    cells, tf = np.unique(rows * max(1, len(words.dictionary)) + words.indices.to_numpy(), return_counts=True)
+    row, term = np.divmod(cells, max(1, len(words.dictionary)))
+    found = key.take(pa.array(row)).append_column("term", words.dictionary.take(pa.array(term)))
+    return found.append_column("tf", pa.array(tf, pa.int64())), row
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batch function over rows sorted by chunk: counts a few rows at a time, and keeps back the last chunk's counts, as the next
+    rows may be of that chunk too."""
+    held: pa.Table | None = None
+    for batch in batches:
+        for start in range(0, batch.num_rows, PART_ROWS):
+            found, row = _posting_rows(pa.Table.from_batches([batch.slice(start, PART_ROWS)]))
+            if not len(row):
+                continue
+            key = found.column_names[:-2]
+            if held is not None and held.slice(0, 1).select(key).equals(found.slice(0, 1).select(key)):
+                n = int(np.searchsorted(row, row[0], "right"))
+                both = pa.concat_tables([held, found.slice(0, n)]).group_by([*key, "term"]).aggregate([("tf", "sum")])
+                found = pa.concat_tables([both.rename_columns(found.column_names), found.slice(n)])
+                row = np.concatenate([np.full(len(both), row[0]), row[n:]])
+            elif held is not None:
+                yield from held.combine_chunks().to_batches()
+            last = int(np.searchsorted(row, row[-1]))
+            yield from found.slice(0, last).combine_chunks().to_batches()
+            held = found.slice(last)
+    if held is not None:
+        yield from held.combine_chunks().to_batches()
+
+
 def build_postings(tokens: DataFrame) -> DataFrame:
     """Postings (id, chunk_no, doc_date, doc_len, term, tf) of a token table.
 
-    Token arrays move once, by chunk; terms are laid out and counted inside that layout, so the many
-    (chunk, term) rows never shuffle and a term found everywhere is spread over all tasks.
+    Token arrays move once, by chunk, and are sorted there; terms are counted a few chunks at a time, so the many
+    (chunk, term) rows neither shuffle nor stay in memory, and a term found everywhere is spread over all tasks.
     """
-    return (
-        tokens.repartition(*CHUNK_KEY)
-        .select(*CHUNK_KEY, "doc_date", "doc_len", F.explode("tokens").alias("term"))
-        .groupBy(*CHUNK_KEY, "doc_date", "doc_len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    key = [*CHUNK_KEY, "doc_date", "doc_len"]
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", term string, tf long"
+    return tokens.select(*key, "tokens").repartition(*CHUNK_KEY).sortWithinPartitions(*key).mapInArrow(_count_terms, schema)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -96,7 +136,7 @@ def search_keyword(queries: DataFrame, tokens: DataFrame, k: int = 10) -> DataFr
         for terms in _term_blocks(queries):
             block = terms_with_frequency(terms, tokens).toPandas()
             if len(block):
-                yield rows.mapInPandas(_bm25_top_k(block, n, mean_len, k), schema)
+                yield map_parts(rows, _bm25_top_k(block, n, mean_len, k), schema)
 
     return _best(one_table(queries.sparkSession, parts(), schema), k)
 
@@ -164,8 +204,8 @@ def search_postings(queries: DataFrame, index: KeywordIndex, k: int = 10) -> Dat
     """Same answer as ``search_keyword``, by joins over a postings table.
 
     The choice for few, selective terms: only postings of the queries' terms are kept. They shuffle
-    once, by chunk; queries are joined and scores summed inside that layout, and each task keeps its
-    own ``k`` best per query, so (query, chunk) pairs never move.
+    once, by chunk, over as many tasks as leave about ``SCORE_CELLS`` (query, chunk) pairs for each; queries are joined and scores
+    summed inside that layout, and each task keeps its own ``k`` best per query, so the pairs never move.
     """
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *index.postings.schema.fields]}
     schema = f"query_id {kinds['query_id']}, id {kinds['id']}, chunk_no {kinds['chunk_no']}, score double"
@@ -177,7 +217,9 @@ def _score_block(terms: DataFrame, index: KeywordIndex) -> DataFrame:
     vocabulary = F.broadcast(terms.select("term").distinct())
     matched = index.postings.join(vocabulary, "term", "left_semi")
 
-    n_chunks = index.chunks.agg(F.count(F.lit(1))).scalar()
+    chunks, asked = index.chunks.count(), terms.select("query_id").distinct().count()
+    tasks = max(int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks * asked // SCORE_CELLS))
+    n_chunks = F.lit(chunks)
     mean_len = index.chunks.agg(F.avg("doc_len")).scalar()
     frequency = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = terms.join(frequency, "term").select(
@@ -189,7 +231,7 @@ def _score_block(terms: DataFrame, index: KeywordIndex) -> DataFrame:
         F.sum(F.col("idf") * bm25_weight(F.col("tf"), F.col("doc_len"), mean_len)), SCORE_DECIMALS
     )
     return (
-        matched.repartition(*CHUNK_KEY)
+        matched.repartition(tasks, *CHUNK_KEY)
         .join(F.broadcast(weighted), "term")
         .filter(before)
         .groupBy("query_id", *CHUNK_KEY)
