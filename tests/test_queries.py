@@ -42,3 +42,10 @@ def test_entry(spark):
     assert hits.columns[:3] == ["query_id", "rank", "id"]
     assert hits.count() > 0
     assert not any(re.search("local", c) for c in hits.columns)
+
+
+def test_features_are_computed_once_to_fit_and_to_score(spark, sf_dir):
+    from tidemark.queries import evaluation
+
+    files = evaluation.scored(spark, sf_dir, "lr").inputFiles()
+    assert files and not any("documents" in f for f in files)

@@ -153,7 +153,7 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 
 def scored(spark: SparkSession, d: str, kind: str) -> DataFrame:
     subs = plans.collect_plan(features.plan(spark))
-    rows = labelled(spark, d)
+    rows = materialize(labelled(spark, d), "wide")  # fitted and scored
     fitted = models.fit(kind, rows.filter("split = 'train'"), subs)
     return models.score(fitted, rows, keep=["id", "split"])
 
