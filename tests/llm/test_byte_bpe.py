@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -53,3 +54,12 @@ def test_query(spark, sf_dir, plain):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def test_columns_without_a_list_for_each_text(plain):
+    bpe = byte_bpe.ByteBpe(PATH, PATTERN)
+    ids = bpe.encoded(pa.array([*HARD, None])[2:])
+    assert ids.to_pylist() == [plain.encode_ordinary(t) for t in [*HARD[2:], ""]]
+    lists = pa.array([[1], None, ids[1].as_py(), [], [2, 3]], pa.list_(pa.int32()))
+    for part in (lists, lists[1:], lists[3:4], lists[:0]):
+        assert bpe.decoded(part).to_pylist() == [bpe.decode(x or []) for x in part.to_pylist()]

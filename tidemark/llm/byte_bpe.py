@@ -11,9 +11,11 @@ from __future__ import annotations
 import base64
 import functools
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -21,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import in_batches, pieces, ragged
+from tidemark.llm.arrays import in_batches, pieces
 
 CACHE_ENTRIES = 200_000
 
@@ -83,30 +85,51 @@ class ByteBpe:
         ranks = read_ranks(path)
         self.ranks = ranks
         self.entries = sorted(ranks, key=ranks.__getitem__)
+        self.entry_column = pa.array(self.entries, pa.large_binary())
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.table = {i: c for i, c in enumerate(byte_characters())}
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def learn(self, pretokens: set[str]) -> None:
-        """Encode pre-tokens that are not in the cache; a pre-token that is an entry itself is that entry."""
+        """Encode pre-tokens that are not in the cache, to 32-bit ids; one that is an entry itself is that entry."""
         new = [p for p in pretokens if p not in self.cache]
         mapped = [p.encode().decode("latin-1").translate(self.table) for p in new]
         for pretoken, ids in zip(new, self.model.encode(mapped, out_type=int, num_threads=1) if new else (), strict=True):
             whole = self.ranks.get(pretoken.encode())
-            self.cache[pretoken] = ids if whole is None else [whole]
+            self.cache[pretoken] = array("i", ids if whole is None else [whole]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers, one after the other."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         split = [self.pattern.findall(text) for text in texts]
         self.learn(set(chain.from_iterable(split)))
-        get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, pretokens))) for pretokens in split]
+        return [b"".join(map(self.cache.__getitem__, pretokens)) for pretokens in split]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.entries.__getitem__, ids))
 
+    def encoded(self, column: pa.Array) -> pa.ListArray:
+        """Ids of a string column; null counts as empty."""
+        packed = self.packed(pc.fill_null(column, "").to_pylist())
+        offsets = np.zeros(len(packed) + 1, np.int32)
+        np.cumsum([len(x) >> 2 for x in packed], out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+    def decoded(self, lists: pa.ListArray) -> pa.Array:
+        """Bytes of each list of ids; a null list gives none."""
+        ends = np.zeros(len(lists) + 1, np.int64)
+        np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=ends[1:])
+        entries = self.entry_column.take(lists.flatten())
+        _, at, data = entries.buffers()
+        at = np.frombuffer(at, np.int64)[entries.offset :][ends] if len(entries) else ends
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(lists), [None, pa.py_buffer(at.tobytes()), data or pa.py_buffer(b"")]).cast(pa.binary())
+
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBpe:
@@ -124,9 +147,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = codec(path, pattern)
         for batch in in_batches(batches):
             for piece in pieces(batch, "text", 1 << 19):
-                ids = bpe.encode(pc.fill_null(piece.column("text"), "").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
+                    [piece.column("doc_id"), bpe.encoded(piece.column("text"))], ["doc_id", "token_ids"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(run, "doc_id long, token_ids array<int>")
@@ -139,10 +161,9 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in in_batches(batches):
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                lists = part.column("token_ids").to_pylist()
+                lists = part.column("token_ids")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("token_ids"),
-                     pa.array([bpe.decode(x or []) for x in lists], pa.binary())], ["doc_id", "token_ids", "decoded"])
+                    [part.column("doc_id"), lists, bpe.decoded(lists)], ["doc_id", "token_ids", "decoded"])
 
     return tokens.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary")
 
@@ -154,12 +175,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = codec(path, pattern)
         for batch in in_batches(batches):
             for piece in pieces(batch, "text", 1 << 19):
-                texts = pc.fill_null(piece.column("text"), "").to_pylist()
-                ids = bpe.encode(texts)
-                same = [bpe.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                ids = bpe.encoded(piece.column("text"))
+                same = pc.equal(bpe.decoded(ids), pc.fill_null(piece.column("text"), "").cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "n_tokens", "token_ids", "decodes"])
+                    [piece.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), ids, same],
+                    ["doc_id", "n_tokens", "token_ids", "decodes"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decodes boolean")
