@@ -8,7 +8,7 @@ from collections import Counter
 import public_tokenizers
 import sentencepiece
 
-from tidemark.llm.fertility import Vocabulary, judge
+from tidemark.llm.fertility import Vocabulary, Words, judge
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARIES = (
@@ -88,3 +88,12 @@ def test_copies_and_lone_texts_do_not_set_the_bands(spark):
                                        VOCABULARIES).collect()}
     assert len(rows) == len(docs) and all(r.kept == (not r.base_failed) for i, r in rows.items() if i < 5000)
     assert not any(rows[i].kept or rows[i].base_failed for i in (5000, 5001))
+
+
+def test_ids_of_many_words_come_as_one_array():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    words = Words(VOCABULARIES[1])
+    for some in (["naïve", "a", "東京🙂"], ["a", "new"], []):
+        flat, size = words.ids(some)
+        assert size.tolist() == [len(model.encode(w)) for w in some]
+        assert flat.tolist() == [i for w in some for i in model.encode(w)]

@@ -10,6 +10,7 @@ so a word is tokenised once per batch.
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,15 +60,16 @@ class Words:
             self.encode = lambda words: model.encode(words, out_type=int, num_threads=1)
             part = [model.is_byte(i) or model.is_unknown(i) for i in range(model.vocab_size())]
         self.part = np.array(part)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
-    def ids(self, words: list[str]) -> list[np.ndarray]:
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one word after the other, and the number of each word's."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for w, x in zip(new, self.encode(new) if new else (), strict=True):
-            self.known[w] = np.array(x, np.int32)
-        return [self.known[w] for w in words]
+        self.known.update(zip(new, (array("i", x).tobytes() for x in (self.encode(new) if new else ())), strict=True))
+        packed = list(map(self.known.__getitem__, words))
+        return np.frombuffer(b"".join(packed), np.int32), np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
 
 
 def _whole(entry: bytes) -> bool:
@@ -169,9 +171,7 @@ def _measure(vocabularies: tuple[Vocabulary, ...]):
                 n_words = np.maximum(out["n_words"], 1)
                 for v in vocabularies:
                     coder = words_of(v)
-                    ids = coder.ids(words)
-                    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                    size = np.array([len(x) for x in ids], np.int64)
+                    flat, size = coder.ids(words)
                     begin = np.cumsum(size) - size
                     per_word = size[which]
                     token_at = np.repeat(begin[which] - (np.cumsum(per_word) - per_word), per_word) + np.arange(
