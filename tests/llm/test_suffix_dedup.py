@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from tidemark.llm.suffix_dedup import difference_cover, remove_repeats
+from tidemark.llm.suffix_dedup import _cut, difference_cover, remove_repeats
 
 DOCS = "doc_id long, text string"
 
@@ -63,3 +64,12 @@ def test_empty_and_odd_tables(spark):
     rows = remove_repeats(docs).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (1, 500), (1, 500)]
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_last_step_holds_few_texts_at_a_time():
+    rows = [{"doc_id": i, "text": "x" * 300_000, "runs": [{"first": 0, "past": 1}], "whole": None} for i in range(20)]
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("whole", pa.bool_()),
+                        ("runs", pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())])))])
+    out = list(_cut(400)(iter([pa.RecordBatch.from_pylist(rows, schema)])))
+    assert [r["n_removed"] for b in out for r in b.to_pylist()] == [400] * 20
+    assert max(b.nbytes for b in out) < 2 << 20
