@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from tidemark.llm import byte_bpe
+from tidemark.llm import arrays, byte_bpe
 from tidemark.llm.registry import QUERIES, load
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -63,3 +63,21 @@ def test_columns_without_a_list_for_each_text(plain):
     lists = pa.array([[1], None, ids[1].as_py(), [], [2, 3]], pa.list_(pa.int32()))
     for part in (lists, lists[1:], lists[3:4], lists[:0]):
         assert bpe.decoded(part).to_pylist() == [bpe.decode(x or []) for x in part.to_pylist()]
+
+
+def test_a_finished_task_gives_its_free_memory_back(monkeypatch):
+    assert arrays._trim()(0) in (0, 1)
+    called = []
+    monkeypatch.setattr(arrays, "_trim", lambda: called.append)
+    batches = [pa.RecordBatch.from_pydict({"x": x}) for x in ([1, 2], [], [3])]
+    given = arrays.in_batches(iter(batches))
+    assert next(given).num_rows == 2 and not called
+    assert [b.num_rows for b in given] == [1] and called == [0]
+
+
+def test_ids_do_not_depend_on_the_cache(monkeypatch):
+    bpe = byte_bpe.ByteBpe(PATH, PATTERN)
+    texts = ["one twoo thrree", "", "twoo \u00e9\u00df 12345678", "one"]
+    want = bpe.encode(texts)
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 1)
+    assert [bpe.encode([t])[0] for t in texts] == want

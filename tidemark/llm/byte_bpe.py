@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import in_batches, pieces
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 1 << 16
 
 
 def byte_characters() -> list[str]:
