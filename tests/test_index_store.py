@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+from operator import itemgetter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +172,31 @@ def test_a_range_that_two_tasks_read_counts_once(spark, corpus, queries, expecte
     monkeypatch.setattr(index_store, "_build_blocks", torn)
     index_store.append(corpus, path, range_bits=4)
     assert hits(index_store.search_stored(queries, index_store.load(spark, path), 5)) == expected
+
+
+def test_blocks_are_sent_by_the_bucket_of_their_terms_in_fewer_bytes(spark, stored):
+    terms = ["", "a", "été", "seven77", "eight888", "twelve letters", "漢字漢字漢字", "x" * 31, "y" * 23, *WORDS]
+    rows = spark.createDataFrame([(t,) for t in terms], "term string").select("term", index_store._term_bucket(F.col("term")))
+    want = dict(map(tuple, rows.collect()))
+    assert index_store._routes(pa.array(terms)).tolist() == [want[t] for t in terms]
+    assert index_store._routes(pa.array([None, *terms, "z" * 40])[1:]).tolist() == [*(want[t] for t in terms), 0]
+
+    chunks = index_store.load(spark, stored).chunks
+    kept = chunks.select("range", "id", "chunk_no", F.unix_date("doc_date").alias("day"), F.size("tokens").alias("doc_len"), "tokens")
+    made = list(index_store._build_blocks(iter(kept.coalesce(1).orderBy("range").toArrow().combine_chunks().to_batches())))
+    packed = list(index_store._packed_blocks(lambda x: x)(iter(made)))
+    assert all(b.num_rows == len(set(b.column("route").to_pylist())) for b in packed)
+    found = [row for b in index_store._unpacked_blocks(iter(packed)) for row in b.to_pylist()]
+    key = itemgetter("range", "term")
+    assert sorted(found, key=key) == sorted((row for b in made for row in b.to_pylist()), key=key)
+
+    wide = chunks.select("id", "tokens", "buckets").unionByName(spark.createDataFrame([(-1, [], [])], "id long, tokens array<string>, buckets array<int>"))
+    back = index_store._widened(index_store._narrow(wide, 32), wide.schema)
+    assert back.schema.simpleString() == wide.schema.simpleString() and sorted(back.collect()) == sorted(wide.collect())
+
+
+def test_finished_shuffles_of_a_segment_are_deleted(spark, corpus, monkeypatch):
+    freed = []
+    monkeypatch.setattr(index_store, "release", lambda s, f=index_store.release: freed.append(s) or f(s))
+    index_store.append(corpus, scratch_path(spark, "index"), range_bits=3)
+    assert len(freed) == 2

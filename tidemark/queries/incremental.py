@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.operators import index_store
 from tidemark.queries.registry import query, table
 from tidemark.queries.retrieval import KEYWORD_SQL, QUERIES_SQL, chunk_sql, corpus, passages, top_sql
-from tidemark.session import scratch_path
+from tidemark.session import release, scratch_path
 from tidemark.sources import keyed
 from tidemark.streaming import ingest
 
@@ -21,7 +21,8 @@ def arriving(df: DataFrame, key: str, batches: int = 3) -> DataFrame:
     one file, so in one batch; a batch has as many files as the session's shuffles have tasks for it."""
     spark = df.sparkSession
     path = scratch_path(spark, "arriving")
-    df.repartition(batches * -(-shuffle_tasks(spark) // batches), key).write.parquet(path)
+    df.repartition(batches * -(-shuffle_tasks(spark) // batches), key).write.option("compression", "zstd").parquet(path)
+    release(spark)
     files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
     return ingest.read_stream(spark, path, df.schema, files_per_batch=max(1, files // batches))
 
